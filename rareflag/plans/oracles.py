@@ -211,9 +211,49 @@ r as (select threshold, tp/tt tpr, fp/ff fpr, tp/(tp+fp) prec, (tp-t)/tt tpr0, (
                      f"round(tpr, 6) as recall from r")
     q["roc_auc"] = f"{curve} select round(sum((fpr-fpr0)*(tpr+tpr0)/2), 6) as auc from r"
     q["average_precision"] = f"{curve} select round(sum((tpr-tpr0)*prec), 6) as average_precision from r"
+    q["knn_join_l2"] = knn_sql(L2)
+    q["knn_join_l1"] = knn_sql(L1)
+    q["knn_vote_uniform"] = knn_vote_sql("uniform")
+    q["knn_vote_distance"] = knn_vote_sql("distance")
+    q["sample_neighbors"] = f"""with e as (select vec_id, cast(embedding as double[]) v, label from embeddings),
+one as (select * from e order by md5(concat('42:', cast(vec_id as varchar))), vec_id limit 1),
+j as (select a.vec_id, b.vec_id as neighbor_id, b.label, {L2} as d,
+             row_number() over (partition by a.vec_id order by {L2}, b.vec_id) rn
+      from one a join e b on a.vec_id <> b.vec_id)
+select vec_id, neighbor_id, cast(rn as bigint) as rank, round(d, 6) as distance, label from j where rn <= 5"""
     return q
 
 
+def knn_sql(dist: str, k: int = 5) -> str:
+    return f"""with e as (select vec_id, cast(embedding as double[]) v, label from embeddings),
+j as (select a.vec_id, b.vec_id as neighbor_id, {dist} as d,
+             row_number() over (partition by a.vec_id order by {dist}, b.vec_id) rn
+      from e a join e b on a.vec_id <> b.vec_id)
+select vec_id, neighbor_id, cast(rn as bigint) as rank, round(d, 6) as distance from j where rn <= {k}"""
+
+
+L2 = "list_distance(a.v, b.v)"
+L1 = "list_sum(list_transform(range(1, len(a.v) + 1), lambda i: abs(a.v[i] - b.v[i])))"
+SPLIT_E = ("es as (select *, case when row_number() over (order by md5(concat('123:', cast(vec_id as varchar))), "
+           "vec_id) <= ceil(0.2 * count(*) over ()) then 'test' else 'train' end as split from e)")
+
+
+def knn_vote_sql(weights: str, k: int = 5) -> str:
+    w = ("1.0" if weights == "uniform" else
+         "case when min(d) over (partition by q) = 0 then case when d = 0 then 1.0 else 0.0 end else 1.0 / d end")
+    return f"""with e as (select vec_id, cast(embedding as double[]) v, label from embeddings), {SPLIT_E},
+j as (select a.vec_id q, b.vec_id t, b.label, list_distance(a.v, b.v) d,
+             row_number() over (partition by a.vec_id order by list_distance(a.v, b.v), b.vec_id) rn
+      from es a join es b on a.split = 'test' and b.split = 'train'),
+n as (select q, label, d from j where rn <= {k}),
+nw as (select q, label, {w} as w from n),
+g as (select q, label, sum(w) w from nw group by all),
+s as (select *, w / sum(w) over (partition by q) share,
+             row_number() over (partition by q order by w desc, label) r from g)
+select s.q as vec_id, t.label, s.label as prediction, round(share, 6) as vote_share
+from s join es t on t.vec_id = s.q where r = 1"""
+
+
 def sig_sql(e: str, digits: int = 9) -> str:
     """Round to ``digits`` significant digits (same steps as the Spark side)."""
     p = f"power(10.0, floor(log10(abs({e}))))"
