@@ -66,3 +66,19 @@ def q_sample_neighbors(spark, sf_dir):
                   exclude_self=True, t_cols=["label"])
     return nn.select(F.col("qid").alias("vec_id"), F.col("tid").alias("neighbor_id"),
                      F.col("rank").cast("bigint").alias("rank"), r6("distance").alias("distance"), "label")
+
+
+def q_smote_rows(spark, sf_dir):
+    """SMOTE synthetic rows, every class up to the majority count."""
+    from rareflag.operators.balance import smote
+    s = smote(embeddings(spark, sf_dir), "label", "embedding", id_col="vec_id", k=KNN_K, seed=SAMPLE_SEED)
+    return s.select("label", "synth_i", "base_id", "neighbor_id", r6("u").alias("u"),
+                    r6(F.element_at("embedding", 1)).alias("x0"),
+                    r6(F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b)).alias("xsum"))
+
+
+def q_smote_union_counts(spark, sf_dir):
+    """Class counts after the union of original and synthetic rows."""
+    from rareflag.operators.balance import smote_union
+    u = smote_union(embeddings(spark, sf_dir), "label", "embedding", id_col="vec_id", k=KNN_K, seed=SAMPLE_SEED)
+    return u.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
