@@ -82,3 +82,111 @@ def q_smote_union_counts(spark, sf_dir):
     from rareflag.operators.balance import smote_union
     u = smote_union(embeddings(spark, sf_dir), "label", "embedding", id_col="vec_id", k=KNN_K, seed=SAMPLE_SEED)
     return u.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------- learned models on obs
+
+def _scored(spark, sf_dir, stages_fn, mode="batch", label=None):
+    from rareflag.plans.score import fit, prepared_obs, score_parts
+    from rareflag.sources import obs as O
+    data = prepared_obs(spark, sf_dir, label or O.LABEL)
+    train = data.where(F.col("split") == "train")
+    model = fit(train, stages_fn(train), mode)
+    return score_parts(model, data, mode), model
+
+
+def _out(df):
+    return df.select("id", "split", F.col("label").cast("int").alias("label"),
+                     F.col("prediction").cast("int").alias("prediction"), r6("p1").alias("p1"),
+                     r6("score").alias("score"))
+
+
+FOREST = dict(numTrees=100, maxDepth=8, minInstancesPerNode=2, bootstrap=False, seed=42)
+
+
+def q_forest_score(spark, sf_dir):
+    """Flagship: clean → z-score → L2 → random forest (100 trees, depth 8,
+    no bootstrap, leaf 2), train and test scored with batch medians (M2, M13)."""
+    from rareflag.operators.models.forest import forest_stages
+    out, _ = _scored(spark, sf_dir, lambda tr: forest_stages(**FOREST))
+    return _out(out)
+
+
+def q_forest_evaluation(spark, sf_dir):
+    """Confusion counts, MAE, RMSE, F1 of the forest on train and test."""
+    from rareflag.operators.metrics import error_metrics
+    from rareflag.operators.models.forest import forest_stages
+    out, _ = _scored(spark, sf_dir, lambda tr: forest_stages(**FOREST))
+    m = error_metrics(out, "label", "prediction", by=["split"])
+    return m.select("split", "n", "tn", "fp", "fn", "tp", r6("mae").alias("mae"), r6("rmse").alias("rmse"),
+                    r6("f1").alias("f1"))
+
+
+def q_tree_score(spark, sf_dir):
+    """Decision tree, gini as a variance tree on the 0/1 label (M3)."""
+    from rareflag.operators.models.forest import tree_stages
+    out, _ = _scored(spark, sf_dir, lambda tr: tree_stages("gini", maxDepth=6, minInstancesPerNode=2))
+    return _out(out)
+
+
+def q_tree_entropy_score(spark, sf_dir):
+    """Decision tree, entropy criterion (M3)."""
+    from rareflag.operators.models.forest import tree_stages
+    out, _ = _scored(spark, sf_dir, lambda tr: tree_stages("entropy", maxDepth=6, minInstancesPerNode=2))
+    return _out(out)
+
+
+def q_logistic_score(spark, sf_dir):
+    """Logistic regression, l2, C=1 (M4)."""
+    from rareflag.operators.models.logistic import logistic_stages
+    out, _ = _scored(spark, sf_dir, lambda tr: logistic_stages(C=1.0, penalty="l2", n_train=tr.count()))
+    return _out(out)
+
+
+def q_adaboost_score(spark, sf_dir):
+    """AdaBoost SAMME over stumps, 10 rounds, lr 1 (M6)."""
+    from rareflag.operators.models.adaboost import adaboost_stages
+    out, _ = _scored(spark, sf_dir, lambda tr: adaboost_stages(n_estimators=10, learning_rate=1.0))
+    return _out(out)
+
+
+def q_ksvm_score(spark, sf_dir):
+    """Kernel SVM, rbf, C=10, Nyström with 100 landmarks (M7)."""
+    from rareflag.operators.models.ksvm import ksvm_stages
+    out, _ = _scored(spark, sf_dir, lambda tr: ksvm_stages(C=10.0, kernel="rbf", n_train=tr.count()))
+    return _out(out)
+
+
+def q_leaf_means_check(spark, sf_dir):
+    """A single variance tree (no bootstrap): each leaf's probability equals
+    the mean label of its training rows (note 7). One row per leaf."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from rareflag.plans.score import fit, prepared_obs
+    from rareflag.sources import obs as O
+    data = prepared_obs(spark, sf_dir, O.LABEL)
+    train = data.where(F.col("split") == "train")
+    from rareflag.operators.models.common import ScoreToProbability
+    dt = DecisionTreeRegressor(featuresCol="features", labelCol="label", predictionCol="score", maxDepth=4,
+                               leafCol="leaf", maxBins=256)
+    model = fit(train, [dt, ScoreToProbability()], "frozen")
+    out = model.transform(train)
+    return out.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("label")).alias("label_mean"),
+                                   r6(F.min("p1")).alias("p1_min"), r6(F.max("p1")).alias("p1_max"))
+
+
+def q_feature_importance_top(spark, sf_dir):
+    """Forest importances by input name, top 15, with the spread over trees
+    (M17, T1, A24)."""
+    from rareflag.operators.models.forest import forest_stages
+    from rareflag.plans.importance import forest_importances
+    _, model = _scored(spark, sf_dir, lambda tr: forest_stages(**FOREST))
+    imp = forest_importances(spark, model)
+    return imp.orderBy(F.desc("importance"), "feature").limit(15)
+
+
+def q_pca_explained(spark, sf_dir):
+    """PCA of the z-scored cleaned inputs; cumulative explained variance and
+    the smallest k reaching 0.9 (A23, W8, T3)."""
+    from rareflag.plans.importance import pca_explained
+    from rareflag.sources import obs as O
+    return pca_explained(spark, O.observations(spark, sf_dir))
