@@ -190,3 +190,95 @@ def q_pca_explained(spark, sf_dir):
     from rareflag.plans.importance import pca_explained
     from rareflag.sources import obs as O
     return pca_explained(spark, O.observations(spark, sf_dir))
+
+
+# ------------------------------------------------------------- search, store, leaderboard
+
+SEARCH_GRID = {
+    "rfc": {"n_estimators": [10, 30], "max_depth": [4, 8], "min_samples_leaf": [1], "bootstrap": [False]},
+    "dt": {"criterion": ["gini", "entropy"], "max_depth": [4], "min_samples_leaf": [1]},
+    "lr": {"C": [1.0, 10.0], "penalty": ["l2"], "solver": ["lbfgs", "liblinear"]},
+}
+
+
+def _search(spark, sf_dir, grid=None, cv=3):
+    from rareflag.plans.score import obs_preprocessing, prepared_obs
+    from rareflag.plans.search import search
+    from rareflag.sources import obs as O
+    data = prepared_obs(spark, sf_dir, O.LABEL)
+    train = data.where(F.col("split") == "train")
+    res = search(train, grid or SEARCH_GRID, lambda: obs_preprocessing("batch"), cv=cv, scoring="f1")
+    return data, res
+
+
+def q_grid_search_results(spark, sf_dir):
+    """cv_results: candidate x fold F1, mean, std, rank per family."""
+    from rareflag.plans.search import summarize
+    _, res = _search(spark, sf_dir)
+    s = summarize(res.cv_results)
+    return s.select("family", "candidate", "params", r6("mean_score").alias("mean_score"),
+                    r6("std_score").alias("std_score"), "n_folds", "rank_in_family")
+
+
+def q_best_candidate(spark, sf_dir):
+    """Best candidate per family and the cross-family winner."""
+    import json
+    _, res = _search(spark, sf_dir)
+    rows = [(fam, json.dumps(p, sort_keys=True), round(sc, 6), res.winner is not None and res.winner[0] == fam)
+            for fam, (p, sc, _) in res.best.items()]
+    return spark.createDataFrame(rows, "family string, params string, mean_score double, winner boolean")
+
+
+def q_leaderboard(spark, sf_dir):
+    """Search, save every family's best in the store, then evaluate every
+    stored model on train and test (S7-S10, M16)."""
+    import uuid
+    from rareflag.operators.metrics import error_metrics
+    from rareflag.plans.score import score_parts
+    from rareflag.session import scratch_path
+    from rareflag.sources.store import list_models, load_model, save_model
+    data, res = _search(spark, sf_dir)
+    store = scratch_path(spark, f"store-{uuid.uuid4().hex}")
+    for fam, model in res.models.items():
+        params, sc, _ = res.best[fam]
+        save_model(spark, model, store, "set_3", fam, params, sc)
+    out = None
+    for r in list_models(spark, store).collect():
+        scored = score_parts(load_model(r["path"]), data, "batch")
+        m = error_metrics(scored, "label", "prediction", by=["split"]).select(
+            F.lit(r["feature_set"]).alias("feature_set"), F.lit(r["family"]).alias("family"),
+            F.lit(round(r["cv_score"], 6)).alias("cv_score"), "split", "tn", "fp", "fn", "tp",
+            r6("mae").alias("mae"), r6("rmse").alias("rmse"), r6("f1").alias("f1"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def q_validation_curve(spark, sf_dir):
+    """CV F1 on the fit and held-out folds per forest depth."""
+    from rareflag.plans.score import obs_preprocessing, prepared_obs
+    from rareflag.plans.search import validation_curve
+    from rareflag.sources import obs as O
+    data = prepared_obs(spark, sf_dir, O.LABEL)
+    train = data.where(F.col("split") == "train")
+    vc = validation_curve(train, "rfc", {"n_estimators": 10, "bootstrap": False}, "max_depth", [2, 4, 8],
+                          lambda: obs_preprocessing("batch"), cv=3)
+    return vc.select("param", "value", "fold", r6("train_f1").alias("train_f1"), r6("test_f1").alias("test_f1"))
+
+
+def q_rfe(spark, sf_dir):
+    """Recursive feature elimination with CV, weighted F1."""
+    from rareflag.plans.score import obs_preprocessing, prepared_obs
+    from rareflag.plans.search import recursive_elimination
+    from rareflag.sources import obs as O
+    data = prepared_obs(spark, sf_dir, O.LABEL)
+    train = data.where(F.col("split") == "train")
+    r = recursive_elimination(train, O.VARIABLES, lambda v: obs_preprocessing("batch", variables=v),
+                              {"n_estimators": 10, "max_depth": 4, "bootstrap": False}, cv=2, min_features=3)
+    return r.select("n_features", r6("mean_f1").alias("mean_f1"), r6("std_f1").alias("std_f1"), "dropped")
+
+
+def q_knn_score(spark, sf_dir):
+    """kNN classifier on the cleaned, scaled obs (k=7, p=1, distance) (M5)."""
+    from rareflag.operators.models.knn import knn_stages
+    out, _ = _scored(spark, sf_dir, lambda tr: knn_stages(n_neighbors=7, weights="distance", p=1))
+    return _out(out)
