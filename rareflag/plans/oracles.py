@@ -244,6 +244,19 @@ j as (select h.label, h.synth_i, r.vec_id base_id, nn.t neighbor_id, h.u, r.v x,
                        "as xsum from j")
     q["smote_union_counts"] = (smote + " select label, false as synthetic, count(*) as n from e group by label "
                                "union all select label, true, count(*) from j group by label")
+    frozen_stats = ", ".join(f"median({c}) m_{c}" for c in FEAT)
+    fvals = []
+    for c in VARS:
+        if c in O.BINARY_COLS:
+            fvals.append(f"coalesce(cast(length(decode({c})) > 0 as integer), 0) as {c}")
+        elif c in O.FLAG_COLS:
+            fvals.append(f"round(coalesce(coalesce({c}, m_{c}), -1.0), 6) as {c}")
+        else:
+            fvals.append(f"round(coalesce({c}, m_{c}), 6) as {c}")
+    finds = ", ".join(f"cast({c} is null as integer) as {c}_isnan" for c in VARS)
+    q["stream_clean_frozen"] = (f"{W}, {split}, st as (select {frozen_stats} from obs join sp using (id) "
+                                f"where split = 'train') select id, {', '.join(fvals)}, {finds} from obs, st where "
+                                + " and ".join(f"coalesce({c}, m_{c}) is not null" for c in FEAT))
     return q
 
 

@@ -21,11 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _modules():
     mods = [Q]
-    try:
-        from rareflag.plans import model_queries
-        mods.append(model_queries)
-    except ImportError:
-        pass
+    from rareflag.plans import model_queries, stream_queries
+    mods += [model_queries, stream_queries]
     return mods
 
 
