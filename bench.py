@@ -59,7 +59,7 @@ def main():
         "rf": forest_stages(**MQ.FOREST),
         "ada": adaboost_stages(n_estimators=20, learning_rate=1.0),
         "svc": ksvm_stages(C=10.0, kernel="rbf", n_train=n_train),
-        "knn": knn_stages(n_neighbors=7, weights="distance", p=1),
+        "knn": knn_stages(n_neighbors=5, weights="distance", p=2),
     }
     for name, stages in families.items():
         t = time.time()

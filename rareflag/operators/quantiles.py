@@ -41,8 +41,8 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.inline(arr)).where(F.col("v").isNotNull())
 
 
-def select_medians(df: DataFrame, cols: Sequence[str], bins: int = 2048,
-                   collect_limit: int = 50000, max_passes: int = 64) -> dict[str, float | None]:
+def select_medians(df: DataFrame, cols: Sequence[str], bins: int = 4096,
+                   collect_limit: int = 20000, max_passes: int = 64) -> dict[str, float | None]:
     """Exact midpoint medians (pandas / DuckDB semantics) by histogram refinement.
 
     For a column with ``n`` values the lower middle rank ``t = (n-1)//2`` is

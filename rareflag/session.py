@@ -27,11 +27,15 @@ LOCAL_DEFAULTS = {
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   driver_memory: str = "8g", app: str = "rareflag") -> SparkSession:
     """Session for tests and the bench (local mode)."""
+    # one BLAS thread per Python worker: Spark already runs a task per core
+    os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+    os.environ.setdefault("OMP_NUM_THREADS", "1")
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", driver_memory))
     for k, v in LOCAL_DEFAULTS.items():
         builder = builder.config(k, v)
+    builder = builder.config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
