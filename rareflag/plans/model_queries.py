@@ -282,3 +282,10 @@ def q_knn_score(spark, sf_dir):
     from rareflag.operators.models.knn import knn_stages
     out, _ = _scored(spark, sf_dir, lambda tr: knn_stages(n_neighbors=7, weights="distance", p=1))
     return _out(out)
+
+
+def q_review_probabilities(spark, sf_dir):
+    """Forest test-set probabilities, highest first, for review."""
+    from rareflag.operators.models.forest import forest_stages
+    out, _ = _scored(spark, sf_dir, lambda tr: forest_stages(**FOREST))
+    return _out(out.where(F.col("split") == "test")).orderBy(F.desc("p1"), "id")

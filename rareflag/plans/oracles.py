@@ -257,6 +257,18 @@ j as (select h.label, h.synth_i, r.vec_id base_id, nn.t neighbor_id, h.u, r.v x,
     q["stream_clean_frozen"] = (f"{W}, {split}, st as (select {frozen_stats} from obs join sp using (id) "
                                 f"where split = 'train') select id, {', '.join(fvals)}, {finds} from obs, st where "
                                 + " and ".join(f"coalesce({c}, m_{c}) is not null" for c in FEAT))
+    q["head_rows"] = f"{W} select id, {_round_cols(FEAT, FEAT)} from obs order by id limit 5"
+    q["features_join_label"] = (f"{W} select x.id, round(x.qty_sum, 6) as qty_sum, round(x.disc_avg, 6) as disc_avg, "
+                                f"y.is_pos as label from obs x left join (select id, is_pos from obs where is_pos = 1) y "
+                                f"on x.id = y.id")
+    q["class_filter"] = (f"{W} select case_name, count(*) as n, 'positive' as part from obs where is_pos = 1 group by 1 "
+                         f"union all select case_name, count(*), 'negative' from obs where not (is_pos = 1) group by 1")
+    q["feature_pair_by_class"] = (f"{W} select id, round(qty_sum, 6) as qty_sum, round(disc_avg, 6) as disc_avg, "
+                                  f"is_pos from obs where qty_sum is not null and disc_avg is not null")
+    q["csv_roundtrip"] = (f"{W} select case_name, is_pos, count(*) as n, sum(eflag) as eflag_sum from obs "
+                          f"group by all")
+    q["stacked_sources"] = (f"{W} select case when is_pos = 1 then 'bright' else 'faint' end as source, "
+                            f"count(*) as n_scan, count(*) as n_union from obs group by 1")
     return q
 
 

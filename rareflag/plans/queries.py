@@ -222,3 +222,71 @@ def q_roc_auc(spark, sf_dir):
 
 def q_average_precision(spark, sf_dir):
     return _round_doubles(M.roc_auc_ap(rule_scored(spark, sf_dir)).select("average_precision"))
+
+
+# ------------------------------------------------------------- small projections, joins, sources
+
+HEAD_N = 5
+
+
+def q_head_rows(spark, sf_dir):
+    """First rows in id order (S2, T2, P15: a limit is the feature)."""
+    d = obs(spark, sf_dir)
+    return _round_doubles(d.select(O.ID, *O.FEATURES).orderBy(O.ID).limit(HEAD_N))
+
+
+def q_features_join_label(spark, sf_dir):
+    """Features left-joined with the label on the row id."""
+    d = obs(spark, sf_dir)
+    x = d.select(O.ID, "qty_sum", "disc_avg")
+    y = d.where(F.col(O.LABEL) == 1).select(O.ID, F.col(O.LABEL).alias("label"))
+    return _round_doubles(x.join(y, O.ID, "left"))
+
+
+def q_class_filter(spark, sf_dir):
+    """Class mask and its complement, counted per case."""
+    d = obs(spark, sf_dir)
+    pos = d.where(F.col(O.LABEL) == 1).groupBy(O.CASE_COL).agg(F.count(F.lit(1)).alias("n")) \
+        .withColumn("part", F.lit("positive"))
+    neg = d.where(~(F.col(O.LABEL) == 1)).groupBy(O.CASE_COL).agg(F.count(F.lit(1)).alias("n")) \
+        .withColumn("part", F.lit("negative"))
+    return pos.unionByName(neg)
+
+
+def q_feature_pair_by_class(spark, sf_dir):
+    """Two features and the target, non-null pairs (P14; the data behind a scatter)."""
+    d = obs(spark, sf_dir)
+    return _round_doubles(d.where(F.col("qty_sum").isNotNull() & F.col("disc_avg").isNotNull())
+                          .select(O.ID, "qty_sum", "disc_avg", O.LABEL))
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    """CSV sink with a header, then CSV scan with inferred types."""
+    import uuid
+    from rareflag.session import scratch_path
+    from rareflag.sources.store import write_csv
+    from rareflag.sources.tables import read_csv
+    path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
+    write_csv(obs(spark, sf_dir).select(O.ID, O.CASE_COL, "eflag", O.LABEL), path)
+    back = read_csv(spark, path)
+    return back.groupBy(O.CASE_COL, O.LABEL).agg(F.count(F.lit(1)).alias("n"),
+                                                 F.sum("eflag").alias("eflag_sum"))
+
+
+def q_stacked_sources(spark, sf_dir):
+    """Two input files (faint / bright sets) scanned together with the file of
+    each row, and a union with a source column (S3, U2)."""
+    import uuid
+    from rareflag.session import scratch_path
+    from rareflag.sources.tables import read_parquet, stack_tables
+    base = scratch_path(spark, f"stack-{uuid.uuid4().hex}")
+    d = obs(spark, sf_dir).select(O.ID, "qty_sum", O.LABEL)
+    d.where(F.col(O.LABEL) == 0).write.parquet(f"{base}/faint")
+    d.where(F.col(O.LABEL) == 1).write.parquet(f"{base}/bright")
+    both = read_parquet(spark, f"{base}/faint", f"{base}/bright", with_source=True)
+    both = both.withColumn("source", F.when(F.col("source_file").contains("/bright/"), "bright").otherwise("faint"))
+    stacked = stack_tables({"faint": spark.read.parquet(f"{base}/faint"),
+                            "bright": spark.read.parquet(f"{base}/bright")}, "source")
+    a = both.groupBy("source").agg(F.count(F.lit(1)).alias("n_scan"))
+    b = stacked.groupBy("source").agg(F.count(F.lit(1)).alias("n_union"))
+    return a.join(b, "source")
