@@ -124,9 +124,15 @@ class CleanerModel(Model, _CleanerParams, DefaultParamsReadable, DefaultParamsWr
                                   self.getOrDefault("medianMethod"))
 
     def _transform(self, df: DataFrame) -> DataFrame:
+        return self.transform_with_fills(df, None)
+
+    def transform_with_fills(self, df: DataFrame, fills: dict[str, float | None] | None) -> DataFrame:
+        """Transform with given fill values (statistics computed by the caller,
+        e.g. for several batches in one pass); ``None`` uses the mode's own."""
         variables = self.getOrDefault("inputCols")
         check_columns(df, variables)
-        fills = self.fill_values(df)
+        if fills is None:
+            fills = self.fill_values(df)
         return apply_cleaning(df, variables, fills,
                               flag_cols=self.getOrDefault("flagCols"),
                               binary_cols=self.getOrDefault("binaryCols"),

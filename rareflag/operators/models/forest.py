@@ -22,7 +22,7 @@ def forest_stages(numTrees: int = 100, maxDepth: int = 5, minInstancesPerNode: i
                   bootstrap: bool = True, featureSubsetStrategy: str = "sqrt",
                   seed: int = 42, weightCol: str | None = None, labelCol: str = "label",
                   featuresCol: str = "features", maxBins: int = MAX_BINS,
-                  subsamplingRate: float = 1.0):
+                  subsamplingRate: float = 1.0, minSamplesSplit: int = 2):
     rf = RandomForestRegressor(featuresCol=featuresCol, labelCol=labelCol, predictionCol="score",
                                numTrees=int(numTrees), maxDepth=int(maxDepth),
                                minInstancesPerNode=int(minInstancesPerNode), bootstrap=bool(bootstrap),
@@ -30,24 +30,31 @@ def forest_stages(numTrees: int = 100, maxDepth: int = 5, minInstancesPerNode: i
                                maxBins=int(maxBins), subsamplingRate=float(subsamplingRate))
     if weightCol:
         rf.setWeightCol(weightCol)
-    return [rf, ScoreToProbability(inputCol="score")]
+    return [_pruned(rf, minSamplesSplit), ScoreToProbability(inputCol="score")]
+
+
+def _pruned(est, min_samples_split):
+    if min_samples_split and int(min_samples_split) > 2:
+        from rareflag.operators.models.prune import MinSplitPruned
+        return MinSplitPruned(estimator=est, minSamplesSplit=int(min_samples_split))
+    return est
 
 
 def tree_stages(criterion: str = "gini", maxDepth: int = 5, minInstancesPerNode: int = 1,
                 seed: int = 42, weightCol: str | None = None, labelCol: str = "label",
-                featuresCol: str = "features", maxBins: int = MAX_BINS):
+                featuresCol: str = "features", maxBins: int = MAX_BINS, minSamplesSplit: int = 2):
     if criterion == "gini":
         dt = DecisionTreeRegressor(featuresCol=featuresCol, labelCol=labelCol, predictionCol="score",
                                    maxDepth=int(maxDepth), minInstancesPerNode=int(minInstancesPerNode),
                                    seed=int(seed), maxBins=int(maxBins))
         if weightCol:
             dt.setWeightCol(weightCol)
-        return [dt, ScoreToProbability(inputCol="score")]
+        return [_pruned(dt, minSamplesSplit), ScoreToProbability(inputCol="score")]
     if criterion == "entropy":
         dt = DecisionTreeClassifier(featuresCol=featuresCol, labelCol=labelCol, impurity="entropy",
                                     maxDepth=int(maxDepth), minInstancesPerNode=int(minInstancesPerNode),
                                     seed=int(seed), maxBins=int(maxBins))
         if weightCol:
             dt.setWeightCol(weightCol)
-        return [dt, ProbabilityColumns()]
+        return [_pruned(dt, minSamplesSplit), ProbabilityColumns()]
     raise ValueError(f"unknown criterion {criterion!r}")

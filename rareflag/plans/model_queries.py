@@ -101,12 +101,13 @@ def _out(df):
                      r6("score").alias("score"))
 
 
-FOREST = dict(numTrees=100, maxDepth=8, minInstancesPerNode=2, bootstrap=False, seed=42)
+FOREST = dict(numTrees=100, maxDepth=8, minInstancesPerNode=2, bootstrap=False, seed=42, minSamplesSplit=10)
 
 
 def q_forest_score(spark, sf_dir):
     """Flagship: clean → z-score → L2 → random forest (100 trees, depth 8,
-    no bootstrap, leaf 2), train and test scored with batch medians (M2, M13)."""
+    no bootstrap, leaf 2, split 10), train and test scored with batch medians
+    (M2, M13)."""
     from rareflag.operators.models.forest import forest_stages
     out, _ = _scored(spark, sf_dir, lambda tr: forest_stages(**FOREST))
     return _out(out)

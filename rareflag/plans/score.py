@@ -43,8 +43,7 @@ def fit(train: DataFrame, model_stages, mode: str = "batch", **kw) -> PipelineMo
 def score_parts(model: PipelineModel, data: DataFrame, mode: str = "batch") -> DataFrame:
     """Score train and test; batch mode takes statistics per part."""
     if mode == "batch":
-        parts = [model.transform(data.where(F.col("split") == s)) for s in ("train", "test")]
-        out = parts[0].unionByName(parts[1])
+        out = _score_batches(model, data, "split", ["train", "test"])
     else:
         out = model.transform(data)
     for c in ("p0", "p1", "score"):
@@ -53,6 +52,31 @@ def score_parts(model: PipelineModel, data: DataFrame, mode: str = "batch") -> D
     return out.select(*OUT_COLS)
 
 
+def _score_batches(model: PipelineModel, data: DataFrame, by: str, batches: Sequence[str]) -> DataFrame:
+    """Batch-mode scoring of several batches: each batch keeps its own
+    statistics, but all batches' statistics come from one pass (one masked
+    column per batch and variable) instead of one pass per batch."""
+    from rareflag.operators.clean import CleanerModel, compute_statistics
+    cleaner = model.stages[0]
+    if not isinstance(cleaner, CleanerModel) or cleaner.getOrDefault("mode") != "batch":
+        parts = [model.transform(data.where(F.col(by) == b)) for b in batches]
+    else:
+        num = cleaner._numeric_vars()
+        masked = data.select(*[F.when(F.col(by) == b, F.col(c)).alias(f"{c}@{i}")
+                               for i, b in enumerate(batches) for c in num])
+        stats = compute_statistics(masked, masked.columns, cleaner.getOrDefault("strategy"),
+                                   cleaner.getOrDefault("medianMethod"))
+        rest = PipelineModel(stages=model.stages[1:])
+        parts = []
+        for i, b in enumerate(batches):
+            fills = {c: stats.get(f"{c}@{i}") for c in num}
+            parts.append(rest.transform(cleaner.transform_with_fills(data.where(F.col(by) == b), fills)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def fit_and_score(spark: SparkSession, sf_dir: str, model_stages, mode: str = "batch",
                   label: str = O.LABEL, **kw) -> DataFrame:
     data = prepared_obs(spark, sf_dir, label)

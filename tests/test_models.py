@@ -40,3 +40,17 @@ def test_adaboost_learns_a_threshold(spark, tmp_path):
     a = sorted((r.id, r.p1) for r in m.transform(df).collect())
     b = sorted((r.id, r.p1) for r in m2.transform(df).collect())
     assert a == b
+
+
+def test_min_samples_split_prunes(spark):
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from rareflag.operators.models.prune import prune_min_samples_split
+    df = leaf_rates(spark).withColumn("x2", F.col("id") % 13 * 1.0)
+    df = VectorAssembler(inputCols=["x", "x2"], outputCol="f2").transform(df)
+    m = DecisionTreeRegressor(featuresCol="f2", maxDepth=5).fit(df)
+    assert prune_min_samples_split(m, 2) is m
+    p = prune_min_samples_split(m, 150)
+    assert p.numNodes < m.numNodes
+    # nodes with >= 150 rows: only the root (200) may split; its children hold 100 each
+    assert p.numNodes == 3
+    assert sorted({round(r.prediction, 6) for r in p.transform(df).collect()}) == [0.6, 0.9]
