@@ -52,8 +52,16 @@ def select_medians(df: DataFrame, cols: Sequence[str], bins: int = 4096,
     if not cols:
         return {}
     long = _long(df, cols)
-    stats = long.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                  F.max("v").alias("hi")).collect()
+    # pass 1: counts, range and a narrow approximate window around the middle
+    # (GK sketch: rank error <= n / accuracy, memory O(accuracy) per column)
+    eps = WINDOW_RANKS / APPROX_ACCURACY
+    stats = long.groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.percentile_approx("v", F.array(F.lit(max(0.0, 0.5 - eps)), F.lit(min(1.0, 0.5 + eps))),
+                            APPROX_ACCURACY).alias("w")).collect()
+    fast = _window_medians(long, stats, cols, collect_limit)
+    if fast is not None:
+        return fast
     st = {}
     for r in stats:
         n = int(r["n"])
@@ -125,6 +133,58 @@ def select_medians(df: DataFrame, cols: Sequence[str], bins: int = 4096,
     return out
 
 
+APPROX_ACCURACY = 10000
+WINDOW_RANKS = 4     # window half-width in units of the sketch's rank error
+
+
+def _window_medians(long: DataFrame, stats, cols, collect_limit: int):
+    """Pass 2 of the fast path: values inside each column's window (with
+    multiplicity) and the count below it, in one job. Returns None when a
+    window is too large to collect or does not hold the middle ranks."""
+    win = {}
+    for r in stats:
+        n = int(r["n"])
+        if n * 2 * WINDOW_RANKS / APPROX_ACCURACY + 2 * WINDOW_RANKS > collect_limit:
+            return None
+        w = r["w"]
+        win[int(r["k"])] = (n, float(w[0]), float(w[1]))
+    if not win:
+        return {c: None for c in cols}
+    cond, key = None, None
+    for k, (n, lo, hi) in win.items():
+        in_k = F.col("k") == k
+        c = in_k & (F.col("v") <= F.lit(hi))
+        cond = c if cond is None else (cond | c)
+        kv = F.when(F.col("v") >= F.lit(lo), F.col("v"))
+        key = F.when(in_k, kv) if key is None else key.when(in_k, kv)
+    rows = (long.where(cond).groupBy("k", key.alias("x")).agg(F.count(F.lit(1)).alias("m")).collect())
+    below = {k: 0 for k in win}
+    vals: dict[int, list] = {k: [] for k in win}
+    for r in rows:
+        k = int(r["k"])
+        if r["x"] is None:
+            below[k] += int(r["m"])
+        else:
+            vals[k].append((float(r["x"]), int(r["m"])))
+    out = {c: None for c in cols}
+    for k, (n, lo, hi) in win.items():
+        ranks = sorted({(n - 1) // 2, n // 2})
+        seq = sorted(vals[k])
+        total = sum(m for _, m in seq)
+        if not (below[k] <= ranks[0] and ranks[-1] < below[k] + total):
+            return None
+        picked = []
+        for t in ranks:
+            pos = t - below[k]
+            for x, m in seq:
+                if pos < m:
+                    picked.append(x)
+                    break
+                pos -= m
+        out[cols[k]] = (picked[0] + picked[-1]) / 2.0
+    return out
+
+
 def medians(df: DataFrame, cols: Sequence[str], method: str = "select") -> dict[str, float | None]:
     if method == "exact":
         return builtin_medians(df, cols)
