@@ -185,8 +185,13 @@ def apply_cleaning(df: DataFrame, variables: Sequence[str], fills: dict[str, flo
 def clean(df: DataFrame, variables: Sequence[str], *, flag_cols=EFLAG_COLUMNS,
           binary_cols=BINARY_COLUMNS, pass_cols=(), strategy="median",
           on_unscorable="drop", median_method="select") -> DataFrame:
-    """Functional form of a batch-mode cleaner (statistics from ``df``)."""
+    """Functional form of a batch-mode cleaner (statistics from ``df``).
+
+    The statistics take a few passes over ``df``; it is persisted first so
+    the passes (and the projection) do not recompute its lineage."""
     check_columns(df, variables)
+    if not df.is_cached:
+        df = df.persist()
     num = [c for c in variables if c not in set(binary_cols)]
     fills = compute_statistics(df, num, strategy, median_method)
     return apply_cleaning(df, variables, fills, flag_cols, binary_cols, pass_cols, strategy,

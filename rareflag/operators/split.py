@@ -32,6 +32,9 @@ def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 123, id_
     if not exact:
         return df.withColumn(split_col, F.when(hash_u32(seed, F.col(id_col)) < F.lit(test_size * TWO32),
                                                "test").otherwise("train"))
+    # count, bucket histogram and ranking each read the input: persist it once
+    if not df.is_cached:
+        df = df.persist()
     n = df.count()
     n_test = math.ceil(test_size * n)
     keyed = df.withColumn("_rf_key", split_key(seed, id_col))
@@ -65,6 +68,8 @@ def fold_bounds(class_counts: dict, k: int) -> dict:
 def stratified_folds(df: DataFrame, k: int = 5, label_col: str = "label", id_col: str = "id",
                      fold_col: str = "fold") -> DataFrame:
     """Adds ``fold`` in 0..k-1: rows of each class in id order, consecutive blocks."""
+    if not df.is_cached:
+        df = df.persist()
     counts = {r[0]: int(r[1]) for r in df.groupBy(label_col).count().collect()}
     bounds = fold_bounds(counts, k)
     ranked = rank_within(df, [F.col(id_col).asc()], F.col(id_col), keys=[label_col], out="_rf_rank")
