@@ -82,3 +82,17 @@ def test_one_hot_unseen_is_all_zero(spark):
     out = m.transform(spark.createDataFrame([("x",), ("z",), (None,)], "c string")).collect()
     assert [tuple(r) for r in out] == [(1, 0), (0, 0), (0, 0)]
     assert m.output_names() == ["c_x", "c_y"]
+
+
+def test_one_pass_batch_fills_equal_per_part(spark):
+    from pyspark.ml import Pipeline
+    from rareflag.plans.score import _score_batches
+    rows = [(i, float(i % 7) if i % 5 else None, "train" if i % 3 else "test") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, split string")
+    model = Pipeline(stages=[Cleaner(inputCols=["a"], flagCols=[], binaryCols=[], passCols=["id", "split"],
+                                     mode="batch")]).fit(df)
+    one = {r.id: r.a for r in _score_batches(model, df, "split", ["train", "test"]).collect()}
+    sep = {}
+    for part in ("train", "test"):
+        sep.update({r.id: r.a for r in model.transform(df.where(F.col("split") == part)).collect()})
+    assert one == sep
