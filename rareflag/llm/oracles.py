@@ -29,7 +29,7 @@ with recursive d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[^\x20\x09-\x0D]+') w
   from documents),
 s as (select doc_id, case when len(w) = 1 then [w[1]]
-             else list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) end s from d
+             else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end s from d
       where len(w) > 0),
 cls as (select min(doc_id) c, s from (select doc_id, list_sort(s) s from s) group by s),
 mem as (select doc_id, c from (select doc_id, list_sort(s) s from s) join cls using (s)),
