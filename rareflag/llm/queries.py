@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rareflag.llm import bpe_tree, oddsketch, unigram_count, winnow
+from rareflag.llm import bpe_tree, ecoc_langid, line_crf, oddsketch, ordinal, unigram_count, winnow
 from rareflag.llm.scratch import table
 
 
@@ -18,6 +18,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.quality(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_tree.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return bpe_tree.digests(out)
@@ -33,5 +38,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ecoc_langid.language_id(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.quality_grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
