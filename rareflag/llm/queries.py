@@ -9,7 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rareflag.llm import bpe_tree, ecoc_langid, line_crf, oddsketch, ordinal, unigram_count, winnow
+from rareflag.llm import (
+    bpe_tree,
+    ecoc_langid,
+    licenses,
+    line_crf,
+    oddsketch,
+    ordinal,
+    site_style,
+    tool_calls,
+    unigram_count,
+    winnow,
+)
 from rareflag.llm.scratch import table
 
 
@@ -18,11 +29,26 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.as_files(table(spark, sf_dir, "documents")), carry=("doc_id",))
+
+
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_crf.quality(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.from_turns(table(spark, sf_dir, "conversations"))
+    out = tool_calls.link(calls, results, tool_calls.schema_table(spark))
+    return out.withColumn("errors", F.array_join("errors", ","))
+
+
+def op5_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = site_style.main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_tree.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return bpe_tree.digests(out)
