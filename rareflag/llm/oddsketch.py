@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, jaccard:
     """Class of every document row.
 
     Returns one row per input row: rid (a row number of this run), doc_id, th (xxhash64 of
-    the text), n_shingles, component_id (smallest doc_id linked with it over any number of
+    the text), n_shingles, class_id (a number of the linked group), component_id (smallest doc_id linked with it over any number of
     links, itself included), kept (doc_id = component_id). A null, empty or wordless text has
     no shingle, is linked with nothing and kept. Repeated rows are equal sets and so one class;
     rows that share a doc_id share whatever links each of them has. A null doc_id never
@@ -269,8 +269,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, jaccard:
              .join(comp.withColumnRenamed("node", "root"), "root", "left")
              .select(*key, "low", F.coalesce("comp", "root").alias("comp")))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "comp").select(*key, "component_id")
+    named = named.join(lowest, "comp").select(*key, "component_id", "comp")
     out = base.select("rid", "doc_id", "th", *key).join(named, key, "left")
-    return out.select("rid", "doc_id", "th", "n_shingles",
+    return out.select("rid", "doc_id", "th", "n_shingles", F.coalesce("comp", -1 - F.col("rid")).alias("class_id"),
                       F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -5,7 +5,7 @@ hashed features gives a text's position s; ordered thresholds t_1 < t_2 cut the
 P(grade >= j) = logistic(s - t_j). The expected grade is the sum of these tail
 probabilities, and the last one selects.
 
-Features (each present or not, hashed): the words, their first four
+Features (each present or not, hashed): the words, their first 4 and 6
 bytes, and binned shares of symbols, capitals, bars, repeated words and word length.
 Words count by presence, so one telling word weighs the same in a long text. The hash
 space is wide (``SLOT_BITS``) and the weights sparse: only features whose share differs
@@ -33,7 +33,7 @@ SLOT_BITS = 26
 SCREEN = 6.0
 #: bound on rated texts in the fit, and on the features taken of one of them (by hash, not by place)
 TRAIN_TEXTS, TRAIN_FEATURES = 6000, 4000
-PREFIX = 4
+PREFIXES = (4, 6)
 #: probability of the best grade from which a text is selected
 KEEP = 0.5
 
@@ -41,7 +41,8 @@ _a = np.arange(256)
 _SYM = np.isin(_a, list(b"#*$%&|<>!"))
 _UP = (_a >= 0x41) & (_a <= 0x5A)
 _BAR = _a == 0x7C
-_EDGES = np.array([0.0, 0.01, 0.03, 0.1, 0.2, 0.4, 0.7])
+_EDGES = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7])
+_UP_EDGES = np.array([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7])  # short texts have a capital in every few letters
 
 
 class Model(NamedTuple):
@@ -56,15 +57,14 @@ def features(t: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
     start, end, bounds, data, mask = tb.word_spans(t, tb.ALNUM, tb.LOWER)
     own = np.repeat(np.arange(n, dtype=np.int64), np.diff(bounds))
     whole = tb.span_hashes(data, start, end, mask)
-    head = np.minimum(end, start + PREFIX)
-    prefix = tb.span_hashes(data, start, head) ^ tb.U64(0x3C79AC492BA7B653)
+    prefix = [tb.mix(tb.span_hashes(data, start, np.minimum(end, start + k)) + tb.U64(k)) for k in PREFIXES]
 
     size = np.maximum(np.diff(t.offsets), 1)
     words = np.maximum(np.diff(bounds), 1)
 
-    def share(flag: np.ndarray) -> np.ndarray:
+    def share(flag: np.ndarray, edges: np.ndarray = _EDGES) -> np.ndarray:
         c = np.concatenate(([0], np.cumsum(flag[t.data])))
-        return np.digitize((c[t.offsets[1:]] - c[t.offsets[:-1]]) / size, _EDGES, right=True)
+        return np.digitize((c[t.offsets[1:]] - c[t.offsets[:-1]]) / size, edges, right=True)
 
     # words equal to another word of the text
     both = tb.mix(whole + own.astype(tb.U64) * tb.U64(0x9E3779B97F4A7C15))
@@ -73,11 +73,11 @@ def features(t: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
     # one entry a distinct (text, word): its text is that of the first equal word
     first = np.argsort(both, kind="stable")[np.searchsorted(order, fresh)]
     kinds = np.bincount(own[first], minlength=n) / words
-    facts = [share(_SYM), share(_UP), share(_BAR), np.where(words > 8, np.minimum(kinds * 20, 20), 20).astype(np.int64),
+    facts = [share(_SYM), share(_UP, _UP_EDGES), share(_BAR), np.where(words > 8, np.minimum(kinds * 20, 20), 20).astype(np.int64),
              np.minimum(np.bincount(own, weights=end - start, minlength=n) / words // 2, 9).astype(np.int64)]
     shape = np.concatenate([tb.mix((np.int64(f + 1) * 64 + v + 7).astype(tb.U64)) for f, v in enumerate(facts)])
-    slot = (np.concatenate((whole, prefix, shape)) >> tb.U64(64 - SLOT_BITS)).astype(np.int64)
-    text = np.concatenate((own, own, np.tile(np.arange(n, dtype=np.int64), len(facts))))
+    slot = (np.concatenate((whole, *prefix, shape)) >> tb.U64(64 - SLOT_BITS)).astype(np.int64)
+    text = np.concatenate((own, *[own] * len(PREFIXES), np.tile(np.arange(n, dtype=np.int64), len(facts))))
     return text, slot
 
 
@@ -88,9 +88,10 @@ def distinct(text: np.ndarray, slot: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 def positions(index: np.ndarray, bounds: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Sum of the weights of each text's features."""
+    """Weights of each text's features: their sum over the root of their number, a dot product with the
+    text's unit vector, so that many words of one kind do not carry a text past the next threshold."""
     c = np.concatenate(([0.0], np.cumsum(weights[index], dtype=np.float64)))
-    return c[bounds[1:]] - c[bounds[:-1]]
+    return (c[bounds[1:]] - c[bounds[:-1]]) / np.sqrt(np.maximum(np.diff(bounds), 1))
 
 
 def known(text: np.ndarray, slot: np.ndarray, n: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,9 +108,10 @@ def tails(s: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -30, 30)))
 
 
-def fit_rows(slot: np.ndarray, bounds: np.ndarray, grade: np.ndarray, grades: int, l1: float = 0.1,
+def fit_rows(slot: np.ndarray, bounds: np.ndarray, grade: np.ndarray, grades: int, sizes: np.ndarray, l1: float = 0.01,
              l2: float = 1e-4, steps: int = 250) -> Model:
-    """Maximum likelihood of the cumulative logit, grades weighing alike.
+    """Maximum likelihood of the cumulative logit; grades weigh as the root of ``sizes``, their rows
+    among all rated texts: a compromise between equal grades and the rows' own shares.
 
     First with an L1 penalty, which picks the features; then without it, on the picked ones. Thresholds are a first cut and positive gaps (logarithms are fitted), so they stay
     ordered; they and the weights share the steps. The penalty is ``l1`` over the root of the rarest grade's
@@ -133,7 +135,8 @@ def fit_rows(slot: np.ndarray, bounds: np.ndarray, grade: np.ndarray, grades: in
     index = np.cumsum(telling)[index[keep]] - 1
     bounds = np.concatenate(([0], np.cumsum(keep)))[bounds]
     size = len(slots)
-    each = 1 / (np.count_nonzero(have) * have[grade])
+    mass = np.sqrt(sizes) * (have > 0)
+    each = (mass / mass.sum() / np.maximum(have, 1))[grade]
     lens = np.diff(bounds)
     rows = np.arange(n)
 
@@ -149,7 +152,8 @@ def fit_rows(slot: np.ndarray, bounds: np.ndarray, grade: np.ndarray, grades: in
         np.add.at(dc, grade + 1, slope[rows, grade + 1] / mass * each)
         dc = dc[1:-1]
         dfree = np.concatenate(([dc.sum()], [dc[k:].sum() * np.exp(free[k]) for k in range(1, grades - 1)]))
-        return np.bincount(index, np.repeat(ds, np.diff(bounds)), len(w)), dfree
+        size = np.diff(bounds)
+        return np.bincount(index, np.repeat(ds / np.sqrt(np.maximum(size, 1)), size), len(w)), dfree
 
     def climb(index: np.ndarray, bounds: np.ndarray, w: np.ndarray, free: np.ndarray, l1: float) -> tuple:
         """Projected Adam with a falling rate. As no weight is above 0, the L1 penalty is linear."""
@@ -166,11 +170,13 @@ def fit_rows(slot: np.ndarray, bounds: np.ndarray, grade: np.ndarray, grades: in
 
     l1 = min(0.02, l1 / np.sqrt(have[have > 0].min()))
     w, free = climb(index, bounds, np.zeros(size), np.concatenate(([-2.0 * grades], np.ones(grades - 2))), l1)
-    picked = w < -1e-3
-    keep = picked[index]
-    index, bounds = (np.cumsum(picked) - 1)[index[keep]], np.concatenate(([0], np.cumsum(keep)))[bounds]
-    w, free = climb(index, bounds, w[picked], free, 0.0)
-    return Model(slots[picked], w, np.cumsum(np.concatenate((free[:1], np.exp(free[1:])))))
+    for left in (l1, 0.0):  # without the features that were not picked, unit vectors are others
+        picked = w < -1e-3
+        keep = picked[index]
+        index, bounds = (np.cumsum(picked) - 1)[index[keep]], np.concatenate(([0], np.cumsum(keep)))[bounds]
+        slots = slots[picked]
+        w, free = climb(index, bounds, w[picked], free, left)
+    return Model(slots, w, np.cumsum(np.concatenate((free[:1], np.exp(free[1:])))))
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
@@ -184,18 +190,19 @@ def grades_of(labels: DataFrame) -> DataFrame:
             .agg(F.min("grade").alias("grade")))
 
 
-def sample(graded: DataFrame, limit: int = TRAIN_TEXTS, grades: int = 3) -> DataFrame:
-    """About limit / grades rows of each grade, those of the lowest hashes of the id."""
+def sample(graded: DataFrame, limit: int = TRAIN_TEXTS, grades: int = 3) -> tuple[DataFrame, np.ndarray]:
+    """About limit / grades rows of each grade, those of the lowest hashes of the id; all rows of each grade."""
     sizes = {r["grade"]: r["count"] for r in graded.groupBy("grade").count().collect()}  # one row a grade
     share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) / (1 << 20)
     keep = F.lit(False)
     for g, n in sizes.items():
         keep = keep | ((F.col("grade") == g) & (share < limit / grades / max(n, 1)))
-    return graded.where(keep)
+    return graded.where(keep), np.array([sizes.get(g, 0) for g in range(grades)], float)
 
 
-def fit(docs: DataFrame, picked: DataFrame, grades: int = 3) -> Model:
-    """Fit on the documents of the bounded sample ``picked`` (doc_id, grade)."""
+def fit(docs: DataFrame, labels: DataFrame, grades: int = 3) -> Model:
+    """Fit on the documents of a bounded sample of the rated ids."""
+    picked, sizes = sample(grades_of(labels), grades=grades)
     schema = pa.schema([("grade", pa.int32()), ("slots", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +225,7 @@ def fit(docs: DataFrame, picked: DataFrame, grades: int = 3) -> Model:
     each = [np.frombuffer(bytes(r["slots"]), "<i4").astype(np.int64) for r in rows]
     bounds = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
     slot = np.concatenate(each) if each else np.zeros(0, np.int64)
-    return fit_rows(slot, bounds, np.array([r["grade"] for r in rows], np.int64), grades)
+    return fit_rows(slot, bounds, np.array([r["grade"] for r in rows], np.int64), grades, sizes)
 
 
 def grade(docs: DataFrame, model: Model, carry: list[str], text: str = "text") -> DataFrame:
@@ -250,5 +257,5 @@ def grade(docs: DataFrame, model: Model, carry: list[str], text: str = "text") -
 
 def quality_grade(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, position, expected_grade, tail_prob, kept of every row of ``docs``."""
-    model = fit(docs, sample(grades_of(labels)))
+    model = fit(docs, labels)
     return grade(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"])

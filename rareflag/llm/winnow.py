@@ -104,7 +104,7 @@ def _bitmap(prints: DataFrame, bits: int) -> bytes:
 
 def scan(docs: DataFrame, text: str, bitmap: bytes, kinds: list[int], span: int = SPAN, gram: int = GRAM,
          bits: int = FILTER_BITS) -> DataFrame:
-    """One row per document: rid, doc_id, n_words, candidates with their context."""
+    """One row per document: rid, doc_id, hash of the text, n_words, candidates with their context."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bitmap)
     kinds = sorted(kinds)
@@ -119,7 +119,7 @@ def scan(docs: DataFrame, text: str, bitmap: bytes, kinds: list[int], span: int
             return (filt[slot >> 6] >> (slot & 63)) & 1 == 1
 
         for b in batches:
-            for i, j, t in tb.chunks(tb.texts(b.column(2))):
+            for i, j, t in tb.chunks(tb.texts(b.column(3))):
                 w = tb.words(t, tb.ALNUM, tb.LOWER)
                 found = [[] for _ in range(j - i)]
                 for kind in kinds:
@@ -137,13 +137,12 @@ def scan(docs: DataFrame, text: str, bitmap: bytes, kinds: list[int], span: int
                         found[d].append({"kind": kind, "pos": p - lo, "h": int(h[p].astype(np.int64)),
                                          "left": p - a, "ctx": w.text(a, z)})
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i),
-                     pa.array(np.diff(w.bounds), pa.int64()), pa.array(found, pa.list_(item))],
-                    names=["rid", "doc_id", "n_words", "cand"])
+                    [*(c.slice(i, j - i) for c in b.columns[:3]), pa.array(np.diff(w.bounds), pa.int64()),
+                     pa.array(found, pa.list_(item))], names=["rid", "doc_id", "th", "n_words", "cand"])
 
     src = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
-                      F.col(text).alias("text"))
-    return src.mapInArrow(run, f"rid bigint, doc_id bigint, n_words bigint, cand {_CAND}")
+                      F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    return src.mapInArrow(run, f"rid bigint, doc_id bigint, th bigint, n_words bigint, cand {_CAND}")
 
 
 def _extend(kind: int, gram: int, span: int, a: str, left: int, b: str, bleft: int) -> tuple[int, int] | None:
@@ -197,8 +196,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", span: i
                   gram: int = GRAM) -> DataFrame:
     """Overlap of every document row with the benchmark.
 
-    Returns one row per input row: rid (a row number of this run), doc_id, n_words,
-    n_hit (words inside any occurrence of a window), items (sorted ids), contaminated.
+    Returns one row per input row: rid (a row number of this run), doc_id, th
+    (xxhash64 of the text), n_words, n_hit (words inside any occurrence of a window), items (sorted ids), contaminated.
     A null or wordless text has zero words and no hit; a null doc_id is kept; rows
     that repeat a doc_id are judged one by one; an empty table gives an empty result.
     Items without words never occur; items that share an id count once.
@@ -212,7 +211,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", span: i
                                    F.array_sort(F.collect_set("item_id")).alias("items"))
     per = per.select("rid", covered(F.col("ranges")).alias("n_hit"), "items")
     empty = F.array().cast("array<string>")
-    return (base.select("rid", "doc_id", "n_words").join(per, "rid", "left")
-            .select("rid", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+    return (base.select("rid", "doc_id", "th", "n_words").join(per, "rid", "left")
+            .select("rid", "doc_id", "th", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                     F.coalesce("items", empty).alias("items"))
             .withColumn("contaminated", F.col("n_hit") > 0))
