@@ -253,7 +253,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_TEXTS) -> Field:
                 yield pa.RecordBatch.from_arrays([pa.array(grade[i:j], pa.int32()), pa.array(lines, pa.binary())],
                                                  schema=schema)
 
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(pick, "doc_id")
+    # the sample's size is bounded by ``limit``, up to the luck of the hash
+    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(pick), "doc_id")
             .select("quality", "text").mapInArrow(run, "quality int, facts binary").collect())
     rows.sort(key=lambda r: (r["quality"], bytes(r["facts"])))  # the order of arrival must not matter
     return train([(np.frombuffer(bytes(r["facts"]), np.int8).reshape(-1, len(FACTS)).astype(np.int64), r["quality"])
