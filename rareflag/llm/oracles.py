@@ -46,3 +46,87 @@ from d left join s using (doc_id) left join mem using (doc_id) left join low on
 """
 
 ORACLES = {"op1_near_dedup": OP1, "op7_decontamination": OP7}
+
+_P2 = """
+f as (select doc_id, coalesce(text, '') as txt, text, case
+        when doc_id % 1000 = 0 then coalesce(source, 'none') || '/LICENSE'
+        when doc_id % 50 = 0 then coalesce(source, 'none') || '/' || (doc_id // 1000) || '/LICENSE'
+        else coalesce(source, 'none') || '/' || (doc_id // 1000) || '/' || (doc_id // 50) || '/f' || doc_id || '.txt'
+      end path from documents),
+g as (select *, regexp_replace(path, '/?[^/]*$', '') dir, path like '%/LICENSE' is_licence from f)
+"""
+
+
+def _op2() -> str:
+    from rareflag.llm.licenses import ANCHORS, MIN_COSINE, TEMPLATES
+    rows = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))
+    return f"""
+with t(template, name, body) as (values {rows}), {_P2},
+u as (select doc_id, unit, body from (select doc_id, unnest(string_split(text, chr(10))) body,
+        generate_subscripts(string_split(text, chr(10)), 1) unit from g where text is not null)
+      where regexp_matches(lower(body), '{ANCHORS}')
+      union all select doc_id, 0, text from g where is_licence and trim(text) <> ''),
+uw as (select doc_id, unit, word, count(*) tf from (select doc_id, unit,
+        unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) word from u) group by all),
+tw0 as (select template, word, count(*) tf from (select template, unnest(regexp_extract_all(lower(body), '[a-z0-9]+'))
+        word from t) group by all),
+n as (select count(*) total from (select distinct doc_id, unit from uw)),
+df as (select word, count(*) df from uw where word in (select word from tw0) group by 1),
+idf as (select distinct tw0.word, ln(1 + total / coalesce(df, 1)) idf from tw0 left join df using (word), n),
+tw as (select template, word, tf * idf tw, idf from tw0 join idf using (word)),
+tn as (select template, sqrt(sum(tw * tw)) tnorm from tw group by 1),
+un as (select doc_id, unit, sqrt(sum(pow(tf * coalesce(idf, ln(1.0 + total)), 2))) norm
+       from uw left join idf using (word), n group by 1, 2),
+c as (select doc_id, unit, template, round(sum(tf * idf * tw) / (any_value(norm) * any_value(tnorm)), 6) cosine
+      from uw join tw using (word) join tn using (template) join un using (doc_id, unit) group by 1, 2, 3),
+best as (select doc_id, name own, cosine from (select doc_id, template, cosine, row_number() over (
+           partition by doc_id order by cosine desc, template) rn from c where cosine >= {MIN_COSINE})
+         join t using (template) where rn = 1),
+there as (select dir above, own licence from (select dir, own, row_number() over (
+           partition by dir order by cosine desc, path, doc_id) rn from g join best using (doc_id) where is_licence)
+          where rn = 1),
+near as (select doc_id, licence, above from (select doc_id, licence, above, row_number() over (
+           partition by doc_id order by len(above) desc) rn
+         from g join there on above = '' or dir = above or starts_with(dir, above || '/')) where rn = 1)
+select g.doc_id, path, coalesce(own, licence) license, cosine,
+       case when own is not null then 'own' when licence is not null then 'inherited' else 'none' end how,
+       case when own is null then above end from_dir
+from g left join best using (doc_id) left join near using (doc_id)
+"""
+
+
+OP4 = r"""
+with u as (select conv_id, turn, conv_id || ':' || turn id, coalesce(text, '') t, coalesce(len(text), 0) n,
+                  case when turn >= 2 then conv_id || ':' || (turn - 2) end after
+           from conversations where role = 'user'),
+r as (select conv_id || ':' || (turn - 1) id, min(coalesce(text, '')) content, count(*) n_results
+      from conversations where role = 'assistant' group by 1),
+c as (select u.*, case when n % 3 = 0 then 'search' when n % 3 = 1 then 'lookup' else 'translate' end as name,
+             case when n % 3 = 0 then '{"limit":' || (n % 50) || ',"query":' || to_json(t) || '}'
+                  when n % 3 = 1 then '{' || case when n % 5 > 0 then '"key":' || to_json(t) || ',' else '' end
+                       || '"strict":' || case when n % 2 = 0 then 'true' else 'false' end
+                       || case when n % 7 = 0 then ',"verbose":1' else '' end || '}'
+                  else '{' || case when n % 4 > 0 then '"target":"en",' else '' end || '"text":' || to_json(t) || '}'
+             end args,
+             after is not null and after not in (select id from u) as lost
+      from u),
+e as (select *, array_to_string(list_filter([
+        case when name = 'lookup' and n % 5 = 0 then 'missing:key' end,
+        case when name = 'translate' and n % 4 = 0 then 'missing:target' end,
+        case when name = 'search' and (n % 50 < 1 or n % 50 > 40) then 'range:limit' end,
+        case when name = 'lookup' and n % 7 = 0 then 'unknown:verbose' end,
+        case when lost then 'unknown dependency:' || after end], lambda x: x is not null), ',') errors from c)
+select conv_id, id call_id, cast(turn as bigint) pos, name, cast(turn as bigint) as level,
+       coalesce(n_results, 0) n_results,
+       case when errors <> '' then 'invalid' when n_results is null then 'no result' else 'ok' end status, errors,
+       '{"arguments":' || args || ',"depends_on":[' || case when after is not null then '"' || after || '"' else '' end
+         || '],"id":"' || id || '","name":"' || name || '"'
+         || case when n_results is not null then ',"result":' || to_json(content) else '' end || '}' json
+from e left join r using (id)
+union all
+select null, id, null, null, null, n_results, 'orphan result', '',
+       '{"id":"' || id || '","result":' || to_json(content) || '}'
+from r where id not in (select id from u)
+"""
+
+ORACLES = ORACLES | {"op2_license_scan": _op2(), "op4_tool_calls": OP4}
