@@ -15,9 +15,11 @@ Large groups of copies are never expanded into all their pairs:
 2. in each class's buckets the class that shares most with its neighbours is the
    hub; every class is confirmed against its best hub only (one link each), and
    the linked classes form trees;
-3. only candidate pairs of different trees that share a bucket are left; within a
-   bucket the members outside its largest tree meet all others, filtered by the
-   sketch inside the join, and every survivor is confirmed on the full sets.
+3. in each bucket, the classes outside its largest tree are held against that whole tree,
+   block by block: one link joins them;
+4. only candidate pairs of different trees that share a bucket, and of which neither was
+   held against the other's tree, are made as rows, filtered by the sketch inside the join,
+   and confirmed on the full sets.
 
 So no candidate link between different components is lost. At jaccard 0.8 a pair
 is missed by all bands with probability (1 - 0.8**6)**42 = 2.9e-6.
@@ -38,6 +40,8 @@ from rareflag.llm.scratch import written
 BANDS, ROWS = 42, 6
 SKETCH_LONGS = 16
 MARGIN = 0.2
+#: members of a tree, and askers, in one group of ``ask``
+BLOCK = 512
 
 _rng = np.random.default_rng(20240611)
 _A = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -133,28 +137,98 @@ def _sketch_table(docs: DataFrame, text: str, size: int) -> DataFrame:
                                "bands array<bigint>, sketch array<bigint>")
 
 
-def confirm(pairs: DataFrame, size: int, jaccard: float) -> DataFrame:
-    """(a, b) of the rows (a, b, ta, tb) whose full shingle sets reach ``jaccard``."""
-    num, den = round(jaccard * 100), 100
+def _similar(x: np.ndarray, y: np.ndarray, jaccard: float) -> bool:
+    """Whether two full sets reach ``jaccard``."""
+    num = round(jaccard * 100)
+    if 100 * min(len(x), len(y)) < num * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= num * (len(x) + len(y) - both)
+
+
+def confirm(pairs: DataFrame, full: DataFrame, size: int, jaccard: float) -> DataFrame:
+    """(a, b) of the pairs whose sketches agree and whose full shingle sets reach ``jaccard``."""
+    most = max_flips(jaccard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             left, right = tb.texts(batch.column(2)), tb.texts(batch.column(3))
-            for i in range(batch.num_rows):
+            flips = np.bitwise_count(_matrix(batch.column(4)) ^ _matrix(batch.column(5))).sum(axis=1)
+            for i in np.flatnonzero(flips <= most).tolist():
                 x, y = (shingle_sets(tb.Texts(t.data[t.offsets[i]:t.offsets[i + 1]],
                                               t.offsets[i:i + 2] - t.offsets[i]), size)[0] for t in (left, right))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both and den * both >= num * (len(x) + len(y) - both):
+                if _similar(x, y, jaccard):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
-
-
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    return (pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b"))
+    both = (pairs.join(full.select(F.col("cid").alias("a"), F.col("text").alias("ta"), F.col("sketch").alias("sa")), "a")
+            .join(full.select(F.col("cid").alias("b"), F.col("text").alias("tb"), F.col("sketch").alias("sb")), "b"))
+    return both.select("a", "b", "ta", "tb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """(rows, SKETCH_LONGS) of a column of sketches."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    # unsigned: numpy counts the bits of the absolute value otherwise
+    return column.flatten().to_numpy(zero_copy_only=False).view(tb.U64).reshape(-1, SKETCH_LONGS)
+
+
+def ask(asks: DataFrame, members: DataFrame, full: DataFrame, size: int, jaccard: float) -> DataFrame:
+    """(a, b) links of the asks (a, top): one, if any, from a into each block of the tree top's members (cid, root).
+
+    A tree's members and its askers are dealt into blocks of about BLOCK; each pair of blocks is one group, in
+    which the sketches choose and order what is compared on the full sets. So an asker is held against a whole
+    tree without a row for each pair, and a large tree is spread over many groups."""
+    most = max_flips(jaccard)
+    asked = asks.groupBy("top").agg(F.count("*").alias("na"))
+    held = members.withColumnRenamed("root", "top").groupBy("top").agg(F.count("*").alias("nm")).join(asked, "top")
+    held = written(held.select("top", F.ceil(F.col("na") / BLOCK).cast("int").alias("na"),
+                               F.ceil(F.col("nm") / BLOCK).cast("int").alias("nm")), "blocks")
+
+    def block(col: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(col), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    left = asks.join(held, "top").select("top", F.col("a").alias("cid"), block("a", "na").alias("i"), "nm").join(
+        full, "cid").withColumn("j", every("nm")).select(
+        "top", "i", "j", F.col("cid").alias("aid"), F.col("text").alias("atext"), F.col("sketch").alias("asketch"))
+    right = members.withColumnRenamed("root", "top").join(held, "top").select(
+        "top", "cid", block("cid", "nm").alias("j"), "na").join(full, "cid").withColumn("i", every("na")).select(
+        "top", "i", "j", "cid", "text", "sketch")
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b = [], []
+        if x.num_rows and y.num_rows:
+            ids, others = x.column("aid").to_pylist(), y.column("cid").to_pylist()
+            sx, sy = _matrix(x.column("asketch")), _matrix(y.column("sketch"))
+            tx, ty = tb.texts(x.column("atext")), tb.texts(y.column("text"))
+            sets: dict[int, np.ndarray] = {}
+
+            def one(t: tb.Texts, i: int) -> np.ndarray:
+                return shingle_sets(tb.Texts(t.data[t.offsets[i]:t.offsets[i + 1]],
+                                             t.offsets[i:i + 2] - t.offsets[i]), size)[0]
+
+            for i in range(len(ids)):
+                flips = np.bitwise_count(sx[i] ^ sy).sum(axis=1)
+                own = None
+                for j in np.argsort(flips, kind="stable").tolist():
+                    if flips[j] > most:
+                        break
+                    own = one(tx, i) if own is None else own
+                    if j not in sets:
+                        sets[j] = one(ty, j)
+                    if _similar(own, sets[j], jaccard):
+                        a.append(ids[i])
+                        b.append(others[j])
+                        break
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    keys = ["top", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "a bigint, b bigint")
 
 
 def _flips(x: str, y: str) -> Column:
@@ -200,6 +274,13 @@ def components(edges: DataFrame) -> DataFrame:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
+def _mixed(slots: DataFrame, root: str) -> DataFrame:
+    """(bucket, top): buckets of several trees, and the tree with the most members there."""
+    sizes = slots.groupBy("bucket", root).agg(F.count("*").alias("m"))
+    return sizes.groupBy("bucket").agg(F.max(F.struct("m", root)).alias("t"), F.count("*").alias("k")).where(
+        "k > 1").select("bucket", F.col(f"t.{root}").alias("top"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, jaccard: float = 0.8) -> DataFrame:
     """Class of every document row.
 
@@ -236,38 +317,48 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, jaccard:
                       F.col(text).alias("text"))
     same = need["doc_id"].eqNullSafe(src["doc_id"]) & (need["th"] == src["th"])
     full = src.join(need, same).select("cid", "text").dropDuplicates(["cid"])
-    full = written(full, "texts")
+    full = written(full.join(heads.select("cid", "sketch"), "cid"), "texts")
 
-    links = written(confirm(_with_texts(best, full), size, jaccard), "links")
+    # 1. each class and its hub
+    links = written(confirm(best, full, size, jaccard), "links")
     tree = roots(links.select(F.col("a").alias("node"), F.col("b").alias("parent")))
-    member = slots.join(tree.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "bucket", "cid", F.coalesce("root", "cid").alias("root"))
-    sizes = member.groupBy("bucket", "root").agg(F.count("*").alias("m"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("k")).where(
-        "k > 1").select("bucket", F.col("top.root").alias("top"))
-    left = written(member.join(mixed, "bucket"), "mixed")
+    slots = written(slots.join(tree.withColumnRenamed("node", "cid"), "cid", "left").select(
+        "bucket", "cid", F.coalesce("root", "cid").alias("root")), "slots")
+
+    # 2. each class and the largest other tree of each of its buckets
+    left = written(slots.join(_mixed(slots, "root"), "bucket"), "mixed")
+    asks = written(left.where("root <> top").select(F.col("cid").alias("a"), "root", "top").distinct(), "asks")
+    found = ask(asks.select("a", "top"), slots.select("cid", "root").distinct(), full, size, jaccard)
+    found = written(found, "asked-links")
+    label = slots.select("cid", "root").distinct()
+    joined = found.join(label.toDF("a", "ra"), "a").join(label.toDF("b", "rb"), "b").select(
+        F.col("ra").alias("a"), F.col("rb").alias("b"))
+    second = components(joined).toDF("root", "root2")
+
+    # 3. what is left: pairs of a bucket in different trees, neither of which has asked the other's
+    asked = asks.groupBy(F.col("a").alias("cid")).agg(F.collect_set("top").alias("asked"))
+    left = left.drop("top").join(second, "root", "left").withColumn("root2", F.coalesce("root2", "root"))
+    left = written(left.join(_mixed(left, "root2"), "bucket"), "mixed")
+    left = left.join(asked, "cid", "left").withColumn("asked", F.coalesce("asked", F.array().cast("array<bigint>")))
     left = left.join(heads.select("cid", "sketch"), "cid")
-    x = left.where("root <> top").select("bucket", F.col("cid").alias("a"), F.col("root").alias("ra"),
-                                         F.col("sketch").alias("sa"))
-    y = left.select("bucket", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"),
-                    F.col("top"))
+    x = left.where("root2 <> top").select("bucket", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col(
+        "root2").alias("ra2"), F.col("asked").alias("qa"), F.col("sketch").alias("sa"))
+    y = left.select("bucket", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("root2").alias("rb2"),
+                    F.col("asked").alias("qb"), F.col("sketch").alias("sb"), F.col("top"))
     # two members outside the largest tree meet twice: the smaller id asks
-    rest = (x.join(y, "bucket").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("top")) |
-                                                                     (F.col("a") < F.col("b"))))
+    rest = (x.join(y, "bucket").where((F.col("ra2") != F.col("rb2")) & ((F.col("rb2") == F.col("top")) | (
+        F.col("a") < F.col("b"))) & ~F.array_contains("qa", F.col("rb")) & ~F.array_contains("qb", F.col("ra")))
             .where(_flips("sa", "sb") <= max_flips(jaccard))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rest = written(rest, "rest-pairs")
-    more = written(confirm(_with_texts(rest, full), size, jaccard), "rest-links")
-
-    def label(df: DataFrame, col: str, to: str) -> DataFrame:
-        t = tree.select(F.col("node").alias(col), F.col("root").alias(to))
-        return df.join(t, col, "left").withColumn(to, F.coalesce(to, col))
-
-    joined = label(label(more, "a", "ra"), "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    comp = components(joined)
-    named = (label(cls.select(*key, "cid", "low"), "cid", "root")
-             .join(comp.withColumnRenamed("node", "root"), "root", "left")
-             .select(*key, "low", F.coalesce("comp", "root").alias("comp")))
+    more = written(confirm(rest, full, size, jaccard), "rest-links")
+
+    final = label.join(second, "root", "left").select("cid", F.coalesce("root2", "root").alias("root"))
+    joined = more.join(final.toDF("a", "ra"), "a").join(final.toDF("b", "rb"), "b").select(
+        F.col("ra").alias("a"), F.col("rb").alias("b"))
+    comp = components(joined).toDF("root", "comp")
+    named = (cls.select(*key, "cid", "low").join(final, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+             .join(comp, "root", "left").select(*key, "low", F.coalesce("comp", "root").alias("comp")))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = named.join(lowest, "comp").select(*key, "component_id", "comp")
     out = base.select("rid", "doc_id", "th", *key).join(named, key, "left")

@@ -219,7 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = 3) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(grade[i:j], pa.int32()), pa.array(rows, pa.binary())],
                                                  schema=schema)
 
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id")
+    # the sample's size is bounded by TRAIN_TEXTS, up to the luck of the hash: the documents need no shuffle
+    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
             .select("grade", "text").mapInArrow(run, "grade int, slots binary").collect())
     rows.sort(key=lambda r: (r["grade"], bytes(r["slots"])))  # the order of arrival must not matter
     each = [np.frombuffer(bytes(r["slots"]), "<i4").astype(np.int64) for r in rows]
