@@ -16,10 +16,9 @@ Large groups of copies are never expanded into all their pairs:
    hub; every class is confirmed against its best hub only (one link each), and
    the linked classes form trees;
 3. in each bucket, the classes outside its largest tree are held against that whole tree,
-   block by block: one link joins them;
-4. only candidate pairs of different trees that share a bucket, and of which neither was
-   held against the other's tree, are made as rows, filtered by the sketch inside the join,
-   and confirmed on the full sets.
+   block by block: one link joins them; this is done again with the trees so joined;
+4. the classes of a bucket that are still outside its largest tree are held against each
+   other, block by block too: only links leave a block, never candidate pairs.
 
 So no candidate link between different components is lost. At jaccard 0.8 a pair
 is missed by all bands with probability (1 - 0.8**6)**42 = 2.9e-6.
@@ -175,15 +174,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).view(tb.U64).reshape(-1, SKETCH_LONGS)
 
 
-def ask(asks: DataFrame, members: DataFrame, full: DataFrame, size: int, jaccard: float) -> DataFrame:
-    """(a, b) links of the asks (a, top): one, if any, from a into each block of the tree top's members (cid, root).
+def ask(asks: DataFrame, members: DataFrame, full: DataFrame, size: int, jaccard: float,
+        among: bool = False) -> DataFrame:
+    """(a, b) links of the asks (a, own, top) into the members (top, cid, root): in each block of the members of
+    ``top``, one link, if any, from a into each tree ``root`` other than its own. With ``among`` askers and
+    members are the same, and of a pair the larger id asks.
 
-    A tree's members and its askers are dealt into blocks of about BLOCK; each pair of blocks is one group, in
-    which the sketches choose and order what is compared on the full sets. So an asker is held against a whole
-    tree without a row for each pair, and a large tree is spread over many groups."""
+    The members of a ``top`` and its askers are dealt into blocks of about BLOCK; each pair of blocks is one group,
+    in which the sketches choose and order what is compared on the full sets. So an asker is held against a whole
+    tree or bucket without a row for each pair, and a large one is spread over many groups."""
     most = max_flips(jaccard)
     asked = asks.groupBy("top").agg(F.count("*").alias("na"))
-    held = members.withColumnRenamed("root", "top").groupBy("top").agg(F.count("*").alias("nm")).join(asked, "top")
+    held = members.groupBy("top").agg(F.count("*").alias("nm")).join(asked, "top")
     held = written(held.select("top", F.ceil(F.col("na") / BLOCK).cast("int").alias("na"),
                                F.ceil(F.col("nm") / BLOCK).cast("int").alias("nm")), "blocks")
 
@@ -193,17 +195,19 @@ def ask(asks: DataFrame, members: DataFrame, full: DataFrame, size: int, jaccard
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    left = asks.join(held, "top").select("top", F.col("a").alias("cid"), block("a", "na").alias("i"), "nm").join(
+    left = asks.join(held, "top").select("top", "own", F.col("a").alias("cid"), block("a", "na").alias("i"), "nm").join(
         full, "cid").withColumn("j", every("nm")).select(
-        "top", "i", "j", F.col("cid").alias("aid"), F.col("text").alias("atext"), F.col("sketch").alias("asketch"))
-    right = members.withColumnRenamed("root", "top").join(held, "top").select(
-        "top", "cid", block("cid", "nm").alias("j"), "na").join(full, "cid").withColumn("i", every("na")).select(
-        "top", "i", "j", "cid", "text", "sketch")
+        "top", "i", "j", F.col("cid").alias("aid"), "own", F.col("text").alias("atext"),
+        F.col("sketch").alias("asketch"))
+    right = members.join(held, "top").select(
+        "top", "cid", "root", block("cid", "nm").alias("j"), "na").join(full, "cid").withColumn("i", every("na")).select(
+        "top", "i", "j", "cid", "root", "text", "sketch")
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         a, b = [], []
         if x.num_rows and y.num_rows:
-            ids, others = x.column("aid").to_pylist(), y.column("cid").to_pylist()
+            ids, others = x.column("aid").to_numpy(), y.column("cid").to_numpy()
+            own, trees = x.column("own").to_numpy(), y.column("root").to_numpy()
             sx, sy = _matrix(x.column("asketch")), _matrix(y.column("sketch"))
             tx, ty = tb.texts(x.column("atext")), tb.texts(y.column("text"))
             sets: dict[int, np.ndarray] = {}
@@ -214,30 +218,24 @@ def ask(asks: DataFrame, members: DataFrame, full: DataFrame, size: int, jaccard
 
             for i in range(len(ids)):
                 flips = np.bitwise_count(sx[i] ^ sy).sum(axis=1)
-                own = None
-                for j in np.argsort(flips, kind="stable").tolist():
-                    if flips[j] > most:
-                        break
-                    own = one(tx, i) if own is None else own
+                near = np.flatnonzero((flips <= most) & (trees != own[i]) & ((others < ids[i]) | (not among)))
+                mine = one(tx, i) if len(near) else None
+                linked: set[int] = set()
+                for j in near[np.argsort(flips[near], kind="stable")].tolist():
+                    if trees[j] in linked:
+                        continue
                     if j not in sets:
                         sets[j] = one(ty, j)
-                    if _similar(own, sets[j], jaccard):
-                        a.append(ids[i])
-                        b.append(others[j])
-                        break
+                    if _similar(mine, sets[j], jaccard):
+                        a.append(int(ids[i]))
+                        b.append(int(others[j]))
+                        linked.add(trees[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     keys = ["top", "i", "j"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "a bigint, b bigint")
 
 
-def _flips(x: str, y: str) -> Column:
-    out = F.lit(0)
-    for i in range(SKETCH_LONGS):
-        out = out + F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i]))
-    return out
-
-
 def roots(parents: DataFrame) -> DataFrame:
     """(node, root) of a forest given as (node, parent), by pointer jumping."""
     cur = written(parents.select("node", F.col("parent").alias("root")), "roots")
@@ -326,34 +324,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, jaccard:
         "bucket", "cid", F.coalesce("root", "cid").alias("root")), "slots")
 
     # 2. each class and the largest other tree of each of its buckets
-    left = written(slots.join(_mixed(slots, "root"), "bucket"), "mixed")
-    asks = written(left.where("root <> top").select(F.col("cid").alias("a"), "root", "top").distinct(), "asks")
-    found = ask(asks.select("a", "top"), slots.select("cid", "root").distinct(), full, size, jaccard)
-    found = written(found, "asked-links")
+    left = slots.join(_mixed(slots, "root"), "bucket")
+    asks = left.where("root <> top").select(F.col("cid").alias("a"), F.col("root").alias("own"), "top").distinct()
+    asks = written(asks, "asks")
     label = slots.select("cid", "root").distinct()
+    found = written(ask(asks, label.withColumn("top", F.col("root")), full, size, jaccard), "asked-links")
     joined = found.join(label.toDF("a", "ra"), "a").join(label.toDF("b", "rb"), "b").select(
         F.col("ra").alias("a"), F.col("rb").alias("b"))
     second = components(joined).toDF("root", "root2")
 
-    # 3. what is left: pairs of a bucket in different trees, neither of which has asked the other's
-    asked = asks.groupBy(F.col("a").alias("cid")).agg(F.collect_set("top").alias("asked"))
-    left = left.drop("top").join(second, "root", "left").withColumn("root2", F.coalesce("root2", "root"))
-    left = written(left.join(_mixed(left, "root2"), "bucket"), "mixed")
-    left = left.join(asked, "cid", "left").withColumn("asked", F.coalesce("asked", F.array().cast("array<bigint>")))
-    left = left.join(heads.select("cid", "sketch"), "cid")
-    x = left.where("root2 <> top").select("bucket", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col(
-        "root2").alias("ra2"), F.col("asked").alias("qa"), F.col("sketch").alias("sa"))
-    y = left.select("bucket", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("root2").alias("rb2"),
-                    F.col("asked").alias("qb"), F.col("sketch").alias("sb"), F.col("top"))
-    # two members outside the largest tree meet twice: the smaller id asks
-    rest = (x.join(y, "bucket").where((F.col("ra2") != F.col("rb2")) & ((F.col("rb2") == F.col("top")) | (
-        F.col("a") < F.col("b"))) & ~F.array_contains("qa", F.col("rb")) & ~F.array_contains("qb", F.col("ra")))
-            .where(_flips("sa", "sb") <= max_flips(jaccard))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    rest = written(rest, "rest-pairs")
-    more = written(confirm(rest, full, size, jaccard), "rest-links")
-
-    final = label.join(second, "root", "left").select("cid", F.coalesce("root2", "root").alias("root"))
+    # 3. the trees are joined now: each class and the largest other one of each of its buckets, if not yet asked
+    final = written(label.join(second, "root", "left").select("cid", F.coalesce("root2", "root").alias("root")), "trees")
+    left = slots.select("bucket", "cid").join(final, "cid")
+    left = written(left.join(_mixed(left, "root"), "bucket").where("root <> top"), "outside")
+    grown = second.select(F.col("root2").alias("top")).distinct()
+    held = asks.select("a", "top").join(grown, "top", "left_anti")
+    again = left.select(F.col("cid").alias("a"), F.col("root").alias("own"), "top").distinct().join(
+        held, ["a", "top"], "left_anti")
+    more = ask(written(again, "asks"), final.withColumn("top", F.col("root")), full, size, jaccard)
+
+    # 4. the classes outside the largest tree of a bucket, among themselves
+    among = left.select(F.col("bucket").alias("top"), "cid", "root")
+    several = among.groupBy("top").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("top")
+    among = written(among.join(several, "top"), "among")
+    # an alias of its own for the top: both sides come from the same table
+    askers = among.select(F.col("top").alias("top"), F.col("cid").alias("a"), F.col("root").alias("own"))
+    rest = ask(askers, among, full, size, jaccard, among=True)
+    more = written(more.union(rest), "rest-links")
+
     joined = more.join(final.toDF("a", "ra"), "a").join(final.toDF("b", "rb"), "b").select(
         F.col("ra").alias("a"), F.col("rb").alias("b"))
     comp = components(joined).toDF("root", "comp")
