@@ -105,7 +105,7 @@ def analyse(t: tb.Texts) -> Lines:
     cut = np.flatnonzero(data == 0x0A)
     l_start = np.union1d(t.offsets[:-1], cut + 1)
     l_start = l_start[l_start < len(data)]
-    l_end = np.append(l_start[1:], len(data))
+    l_end = np.append(l_start[1:], len(data))[:len(l_start)]  # no line in a chunk of empty texts
     l_end = np.where(data[l_end - 1] == 0x0A, l_end - 1, l_end) if len(l_end) else l_end
     w_lo, w_hi = np.searchsorted(start, l_start), np.searchsorted(start, l_end)
     some = w_hi > w_lo
