@@ -1,8 +1,9 @@
 """Class balancing: balanced weights (A9, see ``explore.class_weights``) and
 SMOTE oversampling (M12, J4, U1).
 
-SMOTE, 'not majority' strategy: every class below the largest gets
-``n_max - n_c`` synthetic rows. Synthetic row i of class c takes the base
+SMOTE fills the smallest class (strategy ``minority``) or every class below the
+largest (``not majority``) up to the largest: ``n_max - n_c`` synthetic rows. A class
+to fill needs more than ``k`` rows, as each row needs k neighbours. Synthetic row i of class c takes the base
 row of rank ``h('b',c,i) mod n_c`` (id order within the class), its
 neighbour of rank ``h('n',c,i) mod k + 1`` among the other rows of the class
 (exact kNN join, grouped by class), and ``u = h('u',c,i) / 2^32``; the row is
@@ -24,8 +25,13 @@ from rareflag.operators.ordered import rank_within
 
 
 def smote(df: DataFrame, label: str, vec: str, id_col: str = "id", k: int = 5, seed: int = 42,
-          p: float = 2.0) -> DataFrame:
-    """Synthetic rows ``(label, synth_i, base_id, neighbor_id, u, vec)``."""
+          p: float = 2.0, strategy: str = "minority") -> DataFrame:
+    """Synthetic rows ``(label, synth_i, base_id, neighbor_id, u, vec)``.
+
+    Of several smallest classes the first by label is filled. Raises ValueError when a class to
+    fill has ``k`` rows or fewer."""
+    if strategy not in ("minority", "not majority"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     spark = df.sparkSession
     for f in df.schema.fields:
         if f.name == vec and "array" not in f.dataType.simpleString():
@@ -37,6 +43,11 @@ def smote(df: DataFrame, label: str, vec: str, id_col: str = "id", k: int = 5, s
     n_max = max(n for _, n in counts)
     majority = next(c for c, n in counts if n == n_max)
     plan = [(c, n, n_max - n) for c, n in counts if c != majority and n_max - n > 0]
+    if strategy == "minority" and plan:
+        plan = [min(plan, key=lambda r: r[1])]
+    few = [(c, n) for c, n, _ in plan if n <= k]
+    if few:
+        raise ValueError(f"SMOTE with k={k} needs more than {k} rows in a class; has (class, rows) {few}")
     base = df.select(F.col(id_col).alias("base_id"), F.col(label), as_double_array(vec).alias("x"))
     ranked = rank_within(base, [F.col("base_id").asc()], F.col("base_id"), keys=[label], out="base_rank")
     # neighbours of every row of the resampled classes, within its class
@@ -68,9 +79,10 @@ def smote(df: DataFrame, label: str, vec: str, id_col: str = "id", k: int = 5, s
     return j.select(label, "synth_i", "base_id", "neighbor_id", "u", v.alias(vec))
 
 
-def smote_union(df: DataFrame, label: str, vec: str, id_col: str = "id", k: int = 5, seed: int = 42) -> DataFrame:
+def smote_union(df: DataFrame, label: str, vec: str, id_col: str = "id", k: int = 5, seed: int = 42,
+                strategy: str = "minority") -> DataFrame:
     """Original rows plus synthetic rows (U1), with a ``synthetic`` flag."""
-    syn = smote(df, label, vec, id_col, k, seed)
+    syn = smote(df, label, vec, id_col, k, seed, strategy=strategy)
     orig = df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(label), as_double_array(vec).alias(vec),
                      F.lit(False).alias("synthetic"))
     s = syn.select(F.lit(None).cast("bigint").alias("row_id"), F.col(label), F.col(vec),

@@ -68,13 +68,22 @@ def q_sample_neighbors(spark, sf_dir):
                      F.col("rank").cast("bigint").alias("rank"), r6("distance").alias("distance"), "label")
 
 
-def q_smote_rows(spark, sf_dir):
-    """SMOTE synthetic rows, every class up to the majority count."""
+def q_smote_rows(spark, sf_dir, strategy="minority"):
+    """SMOTE synthetic rows, the smallest class up to the majority count."""
     from rareflag.operators.balance import smote
-    s = smote(embeddings(spark, sf_dir), "label", "embedding", id_col="vec_id", k=KNN_K, seed=SAMPLE_SEED)
+    s = smote(embeddings(spark, sf_dir), "label", "embedding", id_col="vec_id", k=KNN_K, seed=SAMPLE_SEED,
+              strategy=strategy)
     return s.select("label", "synth_i", "base_id", "neighbor_id", r6("u").alias("u"),
                     r6(F.element_at("embedding", 1)).alias("x0"),
-                    r6(F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b)).alias("xsum"))
+                    r6(F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b)).alias("xsum"),
+                    # depends on the place of every coordinate
+                    r6(F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b))
+                    .alias("xplaces"))
+
+
+def q_smote_rows_all_classes(spark, sf_dir):
+    """SMOTE synthetic rows, every class up to the majority count."""
+    return q_smote_rows(spark, sf_dir, "not majority")
 
 
 def q_smote_union_counts(spark, sf_dir):

@@ -222,11 +222,12 @@ j as (select a.vec_id, b.vec_id as neighbor_id, b.label, {L2} as d,
              row_number() over (partition by a.vec_id order by {L2}, b.vec_id) rn
       from one a join e b on a.vec_id <> b.vec_id)
 select vec_id, neighbor_id, cast(rn as bigint) as rank, round(d, 6) as distance, label from j where rn <= 5"""
-    smote = f"""with e as (select vec_id, cast(embedding as double[]) v, label from embeddings),
+    smote = lambda fill: f"""with e as (select vec_id, cast(embedding as double[]) v, label from embeddings),
 c as (select label, count(*) n from e group by label),
 mx as (select max(n) n_max from c),
 maj as (select min(label) maj from c, mx where n = n_max),
-pl as (select c.label, c.n, n_max - c.n m from c, mx, maj where c.label <> maj.maj and n_max - c.n > 0),
+pl as (select c.label, c.n, n_max - c.n m from c, mx, maj where c.label <> maj.maj and n_max - c.n > 0
+       {fill}),
 syn as (select label, n, unnest(range(m)) as synth_i from pl),
 h as (select label, synth_i, {hash_u32_sql(42, "'b'", "label", "synth_i")} % n as base_rank,
              cast({hash_u32_sql(42, "'n'", "label", "synth_i")} % 5 + 1 as integer) as nn_rank,
@@ -238,11 +239,15 @@ nn as (select a.vec_id q, b.vec_id t,
 j as (select h.label, h.synth_i, r.vec_id base_id, nn.t neighbor_id, h.u, r.v x, e2.v xn
       from h join r on r.label = h.label and r.base_rank = h.base_rank
       join nn on nn.q = r.vec_id and nn.rk = h.nn_rank join e e2 on e2.vec_id = nn.t)"""
-    q["smote_rows"] = (smote + " select label, synth_i, base_id, neighbor_id, round(u, 6) as u, "
+    smallest = "order by c.n, c.label limit 1"
+    rows = (" select label, synth_i, base_id, neighbor_id, round(u, 6) as u, "
                        "round(x[1] + u * (xn[1] - x[1]), 6) as x0, "
                        "round(list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] + u * (xn[i] - x[i]))), 6) "
-                       "as xsum from j")
-    q["smote_union_counts"] = (smote + " select label, false as synthetic, count(*) as n from e group by label "
+                       "as xsum, round(list_sum(list_transform(range(1, len(x) + 1), "
+                       "lambda i: i * (x[i] + u * (xn[i] - x[i])))), 6) as xplaces from j")
+    q["smote_rows"] = smote(smallest) + rows
+    q["smote_rows_all_classes"] = smote("") + rows
+    q["smote_union_counts"] = (smote(smallest) + " select label, false as synthetic, count(*) as n from e group by label "
                                "union all select label, true, count(*) from j group by label")
     frozen_stats = ", ".join(f"median({c}) m_{c}" for c in FEAT)
     fvals = []

@@ -23,23 +23,25 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: Sequence[str] | None = None) -> DataFrame:
-    """Scan one driver table; ``columns`` prunes the parquet read."""
-    df = spark.read.parquet(table_path(sf_dir, name))
+    """Scan one driver table, NaN made NULL; ``columns`` prunes the parquet read."""
+    df = nan_to_null(spark.read.parquet(table_path(sf_dir, name)))
     return df.select(*columns) if columns else df
 
 
 def nan_to_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """NaN → NULL once, at the source (pandas ``isna`` treats both alike).
 
-    Infinite values are rejected later by validation, not silently passed.
+    An infinite value raises an error when its column is read.
     """
     cols = set(columns) if columns is not None else None
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and (cols is None or f.name in cols):
-            out.append(F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)).alias(f.name))
+            c = F.col(f"`{f.name}`")
+            error = F.raise_error(F.lit(f"infinite value in column {f.name}")).cast(f.dataType)
+            out.append(F.when(F.isnan(c), F.lit(None)).when(F.abs(c) == float("inf"), error).otherwise(c).alias(f.name))
         else:
-            out.append(F.col(f.name))
+            out.append(F.col(f"`{f.name}`"))
     return df.select(*out)
 
 
