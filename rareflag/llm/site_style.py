@@ -10,12 +10,17 @@ over the pages that have it:
 * content importance: 1 less the entropy of each text over the pages, log(c) / log(m) for
   a text that c of m pages share, averaged over the node's texts.
 
-A branch's importance is the mean of its nodes', weighted by their blocks. What an element
-says about itself is a prior that outweighs the statistics: menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, comments and the like (``NOISE_*``) have
-importance 0, an article or main element (``MAIN_*``) has importance 1 but for such
-branches inside it. Branches below ``THRESHOLD`` are removed from each page. On a page
-with a main element all else is removed; on others the statistics decide.
+A branch's importance is the mean of its nodes', weighted by their blocks. Tags and names
+are a weight in it: importance = w * prior + (1 - w) * mean, with w = (m / 2 + 1) / (m + 1)
+falling from 3/4 at one page to 1/2 at many. An article or main element (``MAIN_*``) and what
+is in it has the prior ``IN_MAIN``; what is beside it, on pages that have one, ``BESIDE``; the
+branches of pages without one ``THRESHOLD``, so there the mean decides alone. Branches below
+``THRESHOLD`` are removed from each page; an element around a page's main element is no branch
+of that page. A heading in a main element stands or falls with the element it heads.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments and the like
+(``NOISE_*``) are removed by what they say about themselves and are no part of the tree: the
+texts of adverts and forms differ from page to page, so statistics would keep them.
 
 Pages are parsed once; the tree lives in tables keyed by (host, node), so a host with a
 third of all pages is aggregated in parts before any shuffle.
@@ -36,6 +41,8 @@ from rareflag.llm.scratch import written
 
 THRESHOLD = 0.3
 CONTENT_SHARE = 0.9
+IN_MAIN = 0.5
+BESIDE = 0.2
 SALTS = 16
 ROWS = 256
 
@@ -57,6 +64,7 @@ NOISE_NAMES = frozenset(
     "notices alert popup modal newsletter subscribe subscription signup login share sharing social comment comments "
     "respond reply replies disqus related recommended pagination pager toolbar masthead topbar skip".split())
 MAIN_TAGS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HEADER_NAMES = frozenset(("header",))
 
 _TOKEN = re.compile(
@@ -103,7 +111,10 @@ def _mark(tag: str, attrs: dict[str, str], above: int) -> int:
 
 
 def blocks(page: str) -> list[tuple[str, list[int], int, int]]:
-    """(text, nodes from the outermost to its own, mark, characters of links) of each text block in page order."""
+    """(text, nodes from the outermost to its own, mark, characters of links) of each text block in page order.
+
+    The last two bits of a node are its element's mark. A heading in a main element has the nodes above it and mark 4.
+    """
     out: list[tuple[str, list[int], int, int]] = []
     stack = [_Open("", 0, 0, True)]
     buf: list[str] = []
@@ -114,7 +125,9 @@ def blocks(page: str) -> list[tuple[str, list[int], int, int]]:
         text = _SPACE.sub(" ", "".join(buf)).strip()
         if text:
             # the block's mark is that of the innermost open element when its text was read
-            out.append((text, [o.node for o in stack if o.block][1:], marks[0], links))
+            above = [o for o in stack[1:] if o.block]
+            head = next((i for i, o in enumerate(above) if o.mark > 0 and o.tag in HEADINGS), None)
+            out.append((text, [o.node for o in above[:head]], marks[0] if head is None or marks[0] < 0 else 4, links))
         buf.clear()
         links = 0
         marks.clear()
@@ -184,49 +197,80 @@ def blocks(page: str) -> list[tuple[str, list[int], int, int]]:
         attrs = _attrs(m[3])
         top = stack[-1]
         name = re.sub(r"\d+", "#", attrs.get("class") or attrs.get("id") or "")
-        node = _signed(xxhash.xxh3_64_intdigest(f"{top.node} {tag} {name}")) if block else top.node
-        stack.append(_Open(tag, node, _mark(tag, attrs, top.mark), block))
+        mark = _mark(tag, attrs, top.mark)
+        node = _signed(xxhash.xxh3_64_intdigest(f"{top.node} {tag} {name}") & ~3 | mark & 3) if block else top.node
+        stack.append(_Open(tag, node, mark, block))
     flush()
     return out
 
 
-_BLOCK = pa.struct([("text", pa.string()), ("th", pa.int64()), ("up", pa.list_(pa.int64())), ("mark", pa.int8()),
-                    ("link", pa.int8())])
+def layout(page: str) -> tuple[list[dict], list[dict], bool]:
+    """Blocks (text, place), places (nodes, first node that may be removed, blocks, style, texts), has a main element.
+
+    Noise is left out. Places are numbered from 0; headings of main elements have a place but no blocks or texts.
+    """
+    found = [b for b in blocks(page) if b[2] >= 0]
+    main = any(mark > 0 for _, _, mark, _ in found)
+    around = {n for _, up, mark, _ in found if mark > 0 for n in up if n & 3 == 0}
+    at: dict[tuple[int, ...], int] = {}
+    out, rows = [], []
+    for text, up, mark, link in found:
+        key = (*up, mark == 4)
+        if key not in at:
+            at[key] = len(rows)
+            skip = next((i for i, n in enumerate(up) if n not in around), len(up))
+            # a node around the main element is removable for the text right in it, unless that is a heading
+            rows.append({"up": up, "skip": skip if mark == 4 else min(skip, max(len(up) - 1, 0)), "n": 0, "links": 0,
+                         "texts": {}})
+        out.append({"text": text, "place": at[key]})
+        if mark < 4 and up:
+            row = rows[at[key]]
+            row["n"] += 1
+            row["links"] += min(4, 4 * link // len(text))
+            row["texts"][_signed(xxhash.xxh3_64_intdigest(text))] = None
+    for row in rows:
+        links = row.pop("links")
+        row["style"] = f"{min(row['n'], 50)}/{int(links / row['n'] + 0.5)}" if row["n"] else ""
+        row["texts"] = list(row["texts"])
+    return out, rows, main
+
+
+_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("place", pa.int32())]))
+_PLACES = pa.list_(pa.struct([("up", pa.list_(pa.int64())), ("skip", pa.int32()), ("n", pa.int64()),
+                              ("style", pa.string()), ("texts", pa.list_(pa.int64()))]))
 
 
 def parsed(pages: DataFrame, markup: str) -> DataFrame:
-    """rid, page_id, url, host, blocks (text, its hash, nodes, mark, quarter of link text) of every page."""
+    """rid, page_id, url, host, blocks, places, main of every page (see ``layout``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, ROWS):
                 part = b.slice(i, ROWS)
-                found = [[{"text": t if mark >= 0 else "", "th": _signed(xxhash.xxh3_64_intdigest(t)), "up": up,
-                           "mark": mark, "link": min(4, 4 * link // len(t))} for t, up, mark, link in blocks(h or "")]
-                         for h in part.column(4).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(found, pa.list_(_BLOCK))],
-                                                 names=["rid", "page_id", "url", "host", "blocks"])
+                found = [layout(h or "") for h in part.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:4], pa.array([f[0] for f in found], _BLOCKS),
+                     pa.array([f[1] for f in found], _PLACES), pa.array([f[2] for f in found], pa.bool_())],
+                    names=["rid", "page_id", "url", "host", "blocks", "places", "main"])
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     src = pages.select(F.monotonically_increasing_id().alias("rid"), F.col("page_id").cast("long").alias("page_id"),
                        F.col("url").cast("string").alias("url"), host.alias("host"), F.col(markup).alias("html"))
-    return src.mapInArrow(run, "rid bigint, page_id bigint, url string, host string, blocks array<struct<text:string, "
-                               "th:bigint, up:array<bigint>, mark:tinyint, link:tinyint>>")
+    return src.mapInArrow(run, "rid bigint, page_id bigint, url string, host string, "
+                               "blocks array<struct<text:string, place:int>>, places array<struct<up:array<bigint>, "
+                               "skip:int, n:bigint, style:string, texts:array<bigint>>>, main boolean")
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """(host, node, importance, pages) of every branch of the hosts' style trees."""
-    rows = pages.select("host", "rid", F.explode("blocks").alias("b")).select(
-        "host", "rid", F.element_at("b.up", -1).alias("leaf"), "b.th", "b.link", "b.up").where("leaf is not null")
-    on = rows.groupBy("host", "leaf", "rid").agg(
-        F.count("*").alias("n"), F.avg("link").alias("link"), F.first("up").alias("up"))
-    style = F.concat_ws("/", F.least(F.col("n"), F.lit(50)).cast("string"), F.round("link").cast("string"))
-    style = on.groupBy("host", "leaf", style.alias("style")).agg(F.count("*").alias("c"), F.sum("n").alias("n"),
-                                                                 F.first("up").alias("up"))
+    """(host, node, mean, pages) of every branch of the hosts' style trees."""
+    on = pages.select("host", "rid", F.explode("places").alias("p")).where("p.n > 0").select(
+        "host", "rid", F.element_at("p.up", -1).alias("leaf"), "p.n", "p.style", "p.up", "p.texts")
+    style = on.groupBy("host", "leaf", "style").agg(F.count("*").alias("c"), F.sum("n").alias("n"),
+                                                    F.first("up").alias("up"))
     # entropy of a distribution of counts c with the sum m: log(m) - sum(c log c) / m
     tree = style.groupBy("host", "leaf").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clc"),
                                              F.sum("n").alias("n"), F.first("up").alias("up"))
-    shared = rows.select("host", "leaf", "rid", "th").distinct().groupBy("host", "leaf", "th").agg(
+    shared = on.select("host", "leaf", F.explode("texts").alias("th")).groupBy("host", "leaf", "th").agg(
         F.count("*").alias("c")).groupBy("host", "leaf").agg(F.sum("c").alias("t"),
                                                              F.sum(F.col("c") * F.log("c")).alias("tlt"))
     m = F.col("m")
@@ -236,13 +280,12 @@ def importance(pages: DataFrame) -> DataFrame:
     own = tree.join(shared, ["host", "leaf"]).select(
         "host", "up", "n", "m", ((1 - CONTENT_SHARE) * present + CONTENT_SHARE * content).alias("imp"))
     return own.select("host", F.explode("up").alias("node"), "n", "m", "imp").groupBy("host", "node").agg(
-        (F.sum(F.col("imp") * F.col("n")) / F.sum("n")).alias("importance"), F.max("m").alias("pages"))
+        (F.sum(F.col("imp") * F.col("n")) / F.sum("n")).alias("mean"), F.max("m").alias("pages"))
 
 
-def _text(keep: Column) -> Column:
-    kept = F.filter("blocks", lambda b: (b["mark"] >= 0) & F.when(F.col("main"), b["mark"] > 0).otherwise(
-        ~F.arrays_overlap(b["up"], keep)))
-    return F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+def _low(prior: float | Column, threshold: float) -> Column:
+    w = (F.col("pages") / 2 + 1) / (F.col("pages") + 1)
+    return F.round(w * prior + (1 - w) * F.col("mean"), 9) < threshold
 
 
 def main_text(pages: DataFrame, markup: str = "html", threshold: float = THRESHOLD) -> DataFrame:
@@ -252,15 +295,18 @@ def main_text(pages: DataFrame, markup: str = "html", threshold: float = THRESHO
     (null or odd url) belongs to the host "". Repeated rows get equal texts (and count as pages
     of their host). Very long pages are parsed whole. An empty table gives an empty result.
     """
-    base = written(parsed(pages, markup), "page-blocks").withColumn(
-        "main", F.exists("blocks", lambda b: b["mark"] > 0))
-    low = importance(base).where(F.col("importance") < threshold).select("host", "node")
+    base = written(parsed(pages, markup), "page-blocks")
+    beside = F.when(F.col("node").bitwiseAND(3) == 0, F.lit(BESIDE)).otherwise(F.lit(IN_MAIN))
+    low = importance(base).select("host", "node", _low(beside, threshold).alias("low"), (
+        F.round("mean", 9) < threshold).alias("open")).where("low or open")
     low = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    # pages without a main element: their nodes of low importance
-    open_ = base.where(~F.col("main")).select("host", "rid", F.explode("blocks").alias("b")).where("b.mark = 0").select(
-        "host", "rid", F.explode("b.up").alias("node")).distinct().withColumn("salt", F.pmod(F.xxhash64("rid"),
-                                                                                        F.lit(SALTS)))
-    drop = open_.join(low, ["host", "node", "salt"]).groupBy("rid").agg(F.collect_set("node").alias("drop"))
-    none = F.array().cast("array<bigint>")
-    return base.join(drop, "rid", "left").select(
-        "page_id", "url", "host", _text(F.coalesce("drop", none)).alias("text"))
+    judged = lambda p: F.slice(p["up"], p["skip"] + 1, F.size(p["up"]))
+    nodes = base.select("host", "rid", "main", F.explode(F.array_distinct(F.flatten(F.transform(
+        "places", judged)))).alias("node")).withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
+    drop = nodes.join(low, ["host", "node", "salt"]).where(F.when(F.col("main"), F.col("low")).otherwise(
+        F.col("open"))).groupBy("rid").agg(F.collect_set("node").alias("drop"))
+    out = base.join(drop, "rid", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<bigint>")))
+    gone = F.transform("places", lambda p: F.arrays_overlap(judged(p), F.col("drop")))
+    kept = F.filter("blocks", lambda b: ~F.get(F.col("gone"), b["place"]))
+    return out.withColumn("gone", gone).select("page_id", "url", "host", F.array_join(F.transform(
+        kept, lambda b: b["text"]), "\n").alias("text"))

@@ -222,6 +222,96 @@ def test_main_text(spark):
         6: "", 7: "", 8: "Head & more\nFirst part " + "z" * 300_000 + "\nSecond"}
 
 
+def words_of(rng, n=12):
+    return " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+
+
+def brute_main_text(pages):
+    """Texts by style trees over lists and dictionaries; pages are (host, html)."""
+    entropy = lambda counts: -sum(c / sum(counts) * np.log(c / sum(counts)) for c in counts)
+    found, hosts = [], {}
+    for host, page in pages:
+        rows = [b for b in site_style.blocks(page) if b[2] >= 0]
+        found.append(rows)
+        leaves = {}
+        for text, up, mark, link in rows:
+            if mark < 4 and up:
+                leaves.setdefault(tuple(up), []).append((text, min(4, 4 * link // len(text))))
+        hosts.setdefault(host, []).append(leaves)
+    mean, seen = {}, {}
+    for host, tree in hosts.items():
+        parts = {}
+        for leaf in {k for t in tree for k in t}:
+            there = [t[leaf] for t in tree if leaf in t]
+            m = len(there)
+            styles, share = {}, {}
+            for bs in there:
+                style = min(len(bs), 50), int(sum(b[1] for b in bs) / len(bs) + 0.5)
+                styles[style] = styles.get(style, 0) + 1
+                for t in {b[0] for b in bs}:
+                    share[t] = share.get(t, 0) + 1
+            imp = 1.0
+            if m > 1:
+                by_text = [1 - np.log(c) / np.log(m) for c in share.values() for _ in range(c)]
+                imp = 0.1 * entropy(list(styles.values())) / np.log(m) + 0.9 * np.mean(by_text)
+            for node in leaf:
+                parts.setdefault(node, []).append((sum(map(len, there)), imp))
+                seen[host, node] = max(seen.get((host, node), 0), m)
+        for node, p in parts.items():
+            mean[host, node] = sum(n * i for n, i in p) / sum(n for n, _ in p)
+    out = []
+    for (host, _), rows in zip(pages, found, strict=True):
+        main = any(r[2] > 0 for r in rows)
+        around = {n for r in rows if r[2] > 0 for n in r[1] if n & 3 == 0}
+
+        def low(node, main=main, host=host):
+            if (host, node) not in mean:
+                return False
+            m = seen[host, node]
+            w = (m / 2 + 1) / (m + 1) if main else 0
+            return round(w * {0: 0.2, 1: 0.5, 2: 0.2}[node & 3] + (1 - w) * mean[host, node], 9) < 0.3
+
+        out.append("\n".join(t for t, up, mark, _ in rows if not any(
+            low(n) for n in up if n not in around or mark < 4 and n == up[-1])))
+    return out
+
+
+def site_texts(spark, pages):
+    rows = [(i, f"http://{host}/{i}", page) for i, (host, page) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return [r.text for r in site_style.main_text(df).orderBy("page_id").collect()]
+
+
+def test_main_text_statistics_decide_with_article(spark):
+    rng, pages, want = random.Random(3), [], []
+    for i in range(12):
+        a, b, c = (words_of(rng) for _ in range(3))
+        pages.append(("a.org", f"<body><article><h1>Column</h1><p>{a}</p><p>{b}</p><div class='house'><h3>On us</h3>"
+                               f"<p>We are the paper of record.</p></div></article><div class='legal'>Rights.</div></body>"))
+        want.append(f"Column\n{a}\n{b}")
+        pages.append(("b.org", f"<body><article class='teaser'><p>{a}</p></article><div class='body'><p>{b}</p><p>{c}</p>"
+                               f"</div><div class='legal'>All rights are ours.</div></body>"))
+        want.append(f"{a}\n{b}\n{c}")
+    assert site_texts(spark, pages) == want == brute_main_text(pages)
+
+
+def test_main_text_brute_force(spark):
+    """Hosts with and without main elements, some texts shared by some of the pages."""
+    rng, pages = random.Random(8), []
+    stock = [words_of(rng) for _ in range(6)]
+    for i in range(90):
+        text = lambda share: rng.choice(stock) if rng.random() < share else words_of(rng)
+        parts = [f"<div class='{k}{rng.randrange(9)}'>" + "".join(f"<p>{text(s)}</p>" for _ in range(rng.randrange(1, 4)))
+                 + f"<a href='/'>{text(0.9)}</a></div>" for k, s in (("x", 1.0), ("y", 0.6), ("z", 0.1), ("w", 0.0))]
+        rng.shuffle(parts)
+        tag = rng.choice(["section", "section", "article"])
+        pages.append((f"h{i % 4}.org", f"<body>{parts[0]}<{tag}><h2>{text(0.5)}</h2>{parts[1]}{parts[2]}</{tag}>{parts[3]}"
+                                       f"<div class='end'>Same end.</div></body>"))
+    got = site_texts(spark, pages)
+    assert got == brute_main_text(pages)
+    assert all(got) and not any("Same end." in t for t in got)
+
+
 def test_language_id_held_out(spark):
     docs = read(spark, "documents", SF001)
     out = ecoc_langid.language_id(docs).where("held_out").join(docs, "doc_id")
