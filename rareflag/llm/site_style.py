@@ -1,8 +1,8 @@
 """Main text of web pages by site style trees.
 
 The pages of one host are merged into a style tree: a node stands for an element at
-a place (the chain of block elements above it, with their class or id). For each node,
-over the pages that have it:
+a place (the chain of block elements above it, with their class or id). Pages of a host that
+are equal but for noise count as one page. For each node, over the pages that have it:
 
 * presentation importance: entropy, to the base of the number of pages, of the ways in
   which pages lay out the node's content (its number of text blocks, and how much of it
@@ -204,8 +204,8 @@ def blocks(page: str) -> list[tuple[str, list[int], int, int]]:
     return out
 
 
-def layout(page: str) -> tuple[list[dict], list[dict], bool]:
-    """Blocks (text, place), places (nodes, first node that may be removed, blocks, style, texts), has a main element.
+def layout(page: str) -> tuple[list[dict], list[dict], bool, int]:
+    """Blocks (text, place), places (nodes, first node that may be removed, blocks, style, texts), main, hash.
 
     Noise is left out. Places are numbered from 0; headings of main elements have a place but no blocks or texts.
     """
@@ -232,7 +232,7 @@ def layout(page: str) -> tuple[list[dict], list[dict], bool]:
         links = row.pop("links")
         row["style"] = f"{min(row['n'], 50)}/{int(links / row['n'] + 0.5)}" if row["n"] else ""
         row["texts"] = list(row["texts"])
-    return out, rows, main
+    return out, rows, main, _signed(xxhash.xxh3_64_intdigest(repr(found).encode("utf-8", "surrogatepass")))
 
 
 _BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("place", pa.int32())]))
@@ -241,7 +241,7 @@ _PLACES = pa.list_(pa.struct([("up", pa.list_(pa.int64())), ("skip", pa.int32())
 
 
 def parsed(pages: DataFrame, markup: str) -> DataFrame:
-    """rid, page_id, url, host, blocks, places, main of every page (see ``layout``)."""
+    """rid, page_id, url, host, blocks, places, main, copy (hash of all but noise) of every page (see ``layout``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -250,29 +250,33 @@ def parsed(pages: DataFrame, markup: str) -> DataFrame:
                 found = [layout(h or "") for h in part.column(4).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:4], pa.array([f[0] for f in found], _BLOCKS),
-                     pa.array([f[1] for f in found], _PLACES), pa.array([f[2] for f in found], pa.bool_())],
-                    names=["rid", "page_id", "url", "host", "blocks", "places", "main"])
+                     pa.array([f[1] for f in found], _PLACES), pa.array([f[2] for f in found], pa.bool_()),
+                     pa.array([f[3] for f in found], pa.int64())],
+                    names=["rid", "page_id", "url", "host", "blocks", "places", "main", "copy"])
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     src = pages.select(F.monotonically_increasing_id().alias("rid"), F.col("page_id").cast("long").alias("page_id"),
                        F.col("url").cast("string").alias("url"), host.alias("host"), F.col(markup).alias("html"))
     return src.mapInArrow(run, "rid bigint, page_id bigint, url string, host string, "
                                "blocks array<struct<text:string, place:int>>, places array<struct<up:array<bigint>, "
-                               "skip:int, n:bigint, style:string, texts:array<bigint>>>, main boolean")
+                               "skip:int, n:bigint, style:string, texts:array<bigint>>>, main boolean, copy bigint")
 
 
 def importance(pages: DataFrame) -> DataFrame:
     """(host, node, mean, pages) of every branch of the hosts' style trees."""
-    on = pages.select("host", "rid", F.explode("places").alias("p")).where("p.n > 0").select(
-        "host", "rid", F.element_at("p.up", -1).alias("leaf"), "p.n", "p.style", "p.up", "p.texts")
-    style = on.groupBy("host", "leaf", "style").agg(F.count("*").alias("c"), F.sum("n").alias("n"),
-                                                    F.first("up").alias("up"))
+    on = pages.select("host", "copy", F.explode("places").alias("p")).where("p.n > 0").select(
+        "host", "copy", F.element_at("p.up", -1).alias("leaf"), "p.n", "p.style", "p.up", "p.texts")
+    # the copies of a page agree in all of these
+    once = on.groupBy("host", "leaf", "copy").agg(F.first("n").alias("n"), F.first("style").alias("style"),
+                                                  F.first("up").alias("up"))
+    style = once.groupBy("host", "leaf", "style").agg(F.count("*").alias("c"), F.sum("n").alias("n"),
+                                                      F.first("up").alias("up"))
     # entropy of a distribution of counts c with the sum m: log(m) - sum(c log c) / m
     tree = style.groupBy("host", "leaf").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clc"),
                                              F.sum("n").alias("n"), F.first("up").alias("up"))
-    shared = on.select("host", "leaf", F.explode("texts").alias("th")).groupBy("host", "leaf", "th").agg(
-        F.count("*").alias("c")).groupBy("host", "leaf").agg(F.sum("c").alias("t"),
-                                                             F.sum(F.col("c") * F.log("c")).alias("tlt"))
+    shared = on.select("host", "leaf", "copy", F.explode("texts").alias("th")).distinct().groupBy(
+        "host", "leaf", "th").agg(F.count("*").alias("c")).groupBy("host", "leaf").agg(
+        F.sum("c").alias("t"), F.sum(F.col("c") * F.log("c")).alias("tlt"))
     m = F.col("m")
     base = F.log(m)
     present = F.when(m > 1, (base - F.col("clc") / m) / base).otherwise(F.lit(1.0))
@@ -292,8 +296,8 @@ def main_text(pages: DataFrame, markup: str = "html", threshold: float = THRESHO
     """page_id, url, host, text of every page row.
 
     A null or empty page, and one without main text, has an empty text. A page without a host
-    (null or odd url) belongs to the host "". Repeated rows get equal texts (and count as pages
-    of their host). Very long pages are parsed whole. An empty table gives an empty result.
+    (null or odd url) belongs to the host "". Repeated rows and copies get equal texts and count
+    as one page of their host. Very long pages are parsed whole. An empty table gives an empty result.
     """
     base = written(parsed(pages, markup), "page-blocks")
     beside = F.when(F.col("node").bitwiseAND(3) == 0, F.lit(BESIDE)).otherwise(F.lit(IN_MAIN))

@@ -229,7 +229,7 @@ def words_of(rng, n=12):
 def brute_main_text(pages):
     """Texts by style trees over lists and dictionaries; pages are (host, html)."""
     entropy = lambda counts: -sum(c / sum(counts) * np.log(c / sum(counts)) for c in counts)
-    found, hosts = [], {}
+    found, hosts, copies = [], {}, set()
     for host, page in pages:
         rows = [b for b in site_style.blocks(page) if b[2] >= 0]
         found.append(rows)
@@ -237,7 +237,9 @@ def brute_main_text(pages):
         for text, up, mark, link in rows:
             if mark < 4 and up:
                 leaves.setdefault(tuple(up), []).append((text, min(4, 4 * link // len(text))))
-        hosts.setdefault(host, []).append(leaves)
+        if (host, repr(rows)) not in copies:
+            hosts.setdefault(host, []).append(leaves)
+        copies.add((host, repr(rows)))
     mean, seen = {}, {}
     for host, tree in hosts.items():
         parts = {}
@@ -312,6 +314,23 @@ def test_main_text_brute_force(spark):
     assert all(got) and not any("Same end." in t for t in got)
 
 
+def test_main_text_copies(spark):
+    """Copies, also with other adverts, count as one page, whether few or nearly all of their host."""
+    rng = random.Random(5)
+    page = lambda a, b: (f"<body><div class='ad'>{words_of(rng)}</div><div class='text'><p>{a}</p><p>{b}</p></div>"
+                         f"<div class='end'>The same end.</div></body>")
+    x, y, z = (words_of(rng) for _ in range(3))
+    pages, want = [("two.org", page(x, y))] * 2 + [("odd url", page(x, z))] * 3, [f"{x}\n{y}\nThe same end."] * 2 + [
+        f"{x}\n{z}\nThe same end."] * 3
+    pages += [("many.org", page(x, y)) for _ in range(40)]
+    want += [f"{x}\n{y}"] * 40
+    for _ in range(5):
+        a, b = words_of(rng), words_of(rng)
+        pages.append(("many.org", page(a, b)))
+        want.append(f"{a}\n{b}")
+    assert site_texts(spark, pages) == want == brute_main_text(pages)
+
+
 def test_language_id_held_out(spark):
     docs = read(spark, "documents", SF001)
     out = ecoc_langid.language_id(docs).where("held_out").join(docs, "doc_id")
