@@ -13,8 +13,8 @@ are equal but for noise count as one page. For each node, over the pages that ha
 A branch's importance is the mean of its nodes', weighted by their blocks. Tags and names
 are a weight in it: importance = w * prior + (1 - w) * mean, with w = (m / 2 + 1) / (m + 1)
 falling from 3/4 at one page to 1/2 at many. An article or main element (``MAIN_*``) and what
-is in it has the prior ``IN_MAIN``; what is beside it, on pages that have one, ``BESIDE``; the
-branches of pages without one ``THRESHOLD``, so there the mean decides alone. Branches below
+is in it has the prior ``IN_MAIN``; what is beside it, on pages that have one, and what is in
+it but has a word of ``NOISE_NAMES`` in a class or id, ``BESIDE``; the branches of pages without one ``THRESHOLD``, so there the mean decides alone. Branches below
 ``THRESHOLD`` are removed from each page; an element around a page's main element is no branch
 of that page. A heading in a main element stands or falls with the element it heads.
 
@@ -93,10 +93,15 @@ def _attrs(raw: str) -> dict[str, str]:
 
 
 def _mark(tag: str, attrs: dict[str, str], above: int) -> int:
-    """-1 noise, 1 main, 0 undecided; noise stays noise, main stays main but for noise in it."""
+    """-1 noise, 1 main, 2 doubtful in main, 0 undecided; noise stays noise, main stays main but for noise in it.
+
+    In a main element a word of a class or id makes an element doubtful, a whole class or id noise. The id of a
+    heading says nothing, as it is made from the heading's text.
+    """
     if above < 0:
         return -1
-    names = {w.lower() for k in ("class", "id") for w in _NAME.findall(attrs.get(k, ""))}
+    said = [attrs.get(k, "") for k in ("class", "id") if k == "class" or above == 0 or tag not in HEADINGS]
+    names = {w.lower() for x in said for w in _NAME.findall(x)}
     role = attrs.get("role", "").lower()
     if tag in NOISE_TAGS or role in NOISE_ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" \
             or _HIDDEN.search(attrs.get("style", "")):
@@ -106,7 +111,7 @@ def _mark(tag: str, attrs: dict[str, str], above: int) -> int:
     if tag in MAIN_TAGS or role == "main" or attrs.get("itemprop", "").lower() == "articlebody":
         return 1
     if tag not in ("html", "body") and names & NOISE_NAMES:
-        return -1
+        return -1 if above == 0 or NOISE_NAMES.intersection(" ".join(said).lower().split()) else 2
     return above
 
 
@@ -300,8 +305,8 @@ def main_text(pages: DataFrame, markup: str = "html", threshold: float = THRESHO
     as one page of their host. Very long pages are parsed whole. An empty table gives an empty result.
     """
     base = written(parsed(pages, markup), "page-blocks")
-    beside = F.when(F.col("node").bitwiseAND(3) == 0, F.lit(BESIDE)).otherwise(F.lit(IN_MAIN))
-    low = importance(base).select("host", "node", _low(beside, threshold).alias("low"), (
+    prior = F.when(F.col("node").bitwiseAND(3) == 1, F.lit(IN_MAIN)).otherwise(F.lit(BESIDE))
+    low = importance(base).select("host", "node", _low(prior, threshold).alias("low"), (
         F.round("mean", 9) < threshold).alias("open")).where("low or open")
     low = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     judged = lambda p: F.slice(p["up"], p["skip"] + 1, F.size(p["up"]))

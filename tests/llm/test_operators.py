@@ -331,6 +331,20 @@ def test_main_text_copies(spark):
     assert site_texts(spark, pages) == want == brute_main_text(pages)
 
 
+def test_main_text_slugs(spark):
+    """Slugs of headings with a noise word keep their text; shared branches and whole noise names go."""
+    rng, pages, want = random.Random(6), [], []
+    for host in ["one.org"] + ["a.org"] * 10:
+        a, b, c, d, ad = (words_of(rng) for _ in range(5))
+        pages.append((host, f"<body><article><h1>T</h1><p>{a}</p><section id='related-work'><h2 id='related'>Related work"
+                            f"</h2><p>{b}</p></section><h2 id='side-effects'>Side effects</h2><p>{c}</p><section id="
+                            f"'social-policy'><p>{d}</p></section><div class='box ad'>{ad}</div><div id='comments'><p>{ad}"
+                            f"</p></div><div class='share-box'><p>Tell your friends.</p></div></article></body>"))
+        want.append(f"T\n{a}\nRelated work\n{b}\nSide effects\n{c}\n{d}")
+    want[0] += "\nTell your friends."  # nothing to compare it with
+    assert site_texts(spark, pages) == want == brute_main_text(pages)
+
+
 def test_language_id_held_out(spark):
     docs = read(spark, "documents", SF001)
     out = ecoc_langid.language_id(docs).where("held_out").join(docs, "doc_id")
