@@ -314,7 +314,9 @@ def main_text(pages: DataFrame, markup: str = "html", threshold: float = THRESHO
         "places", judged)))).alias("node")).withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
     drop = nodes.join(low, ["host", "node", "salt"]).where(F.when(F.col("main"), F.col("low")).otherwise(
         F.col("open"))).groupBy("rid").agg(F.collect_set("node").alias("drop"))
-    out = base.join(drop, "rid", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<bigint>")))
+    # written, so that Spark knows its size: the pages' texts are shuffled only when it is large
+    out = base.join(written(drop, "page-drops"), "rid", "left").withColumn(
+        "drop", F.coalesce("drop", F.array().cast("array<bigint>")))
     gone = F.transform("places", lambda p: F.arrays_overlap(judged(p), F.col("drop")))
     kept = F.filter("blocks", lambda b: ~F.get(F.col("gone"), b["place"]))
     return out.withColumn("gone", gone).select("page_id", "url", "host", F.array_join(F.transform(
