@@ -26,7 +26,7 @@ from rareflag.llm import textbytes as tb
 
 #: bound on the graded texts for training (about as many of either grade), taken by hash of the id
 TRAIN_TEXTS = 2000
-#: lines of one text that enter training
+#: longer texts train as several sequences of at most so many lines
 TRAIN_LINES = 100
 KEEP_SHARE = 0.5
 MIN_WORDS, MAX_REPEAT = 10, 20
@@ -179,13 +179,17 @@ def viterbi(emit: np.ndarray, bounds: np.ndarray, move: np.ndarray) -> np.ndarra
 def train(seqs: list[tuple[np.ndarray, int]], steps: int = 100, rate: float = 0.3, l2: float = 1e-3) -> Field:
     """Maximum conditional likelihood by forward-backward and Adam over padded sequences.
 
-    seqs: (facts, label) of each text; balanced so that either label counts alike."""
+    seqs: (facts, label) of each text; balanced so that either label counts alike, and each text of a label.
+    A text of more than ``TRAIN_LINES`` lines is cut into sequences, which together weigh as one text."""
     seqs = [s for s in seqs if len(s[0])]
     if not seqs or len({y for _, y in seqs}) < 2:
         # nothing to tell apart: all content
         emit = np.zeros((len(FACTS), BINS, 2))
         emit[..., 1] = 1
         return Field(emit, np.zeros((2, 2)))
+    texts = np.bincount([y for _, y in seqs], minlength=2)
+    weight = np.array([0.5 / texts[y] / len(x) for x, y in seqs for _ in range(0, len(x), TRAIN_LINES)])
+    seqs = [(x[i:i + TRAIN_LINES], y) for x, y in seqs for i in range(0, len(x), TRAIN_LINES)]
     long, n = max(len(x) for x, _ in seqs), len(seqs)
     facts = np.zeros((n, long, len(FACTS)), np.int64)
     length = np.array([len(x) for x, _ in seqs])
@@ -193,7 +197,6 @@ def train(seqs: list[tuple[np.ndarray, int]], steps: int = 100, rate: float = 0.
     for i, (x, _) in enumerate(seqs):
         facts[i, :len(x)] = x
     used = np.arange(long) < length[:, None]
-    weight = np.where(gold == 1, 0.5 / (gold == 1).sum(), 0.5 / (gold == 0).sum()) / length
     emit, move = np.zeros((len(FACTS), BINS, 2)), np.zeros((2, 2))
     flat = facts + np.arange(len(FACTS)) * BINS
     m, v = np.zeros(emit.size + 4), np.zeros(emit.size + 4)
@@ -248,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_TEXTS) -> Field:
             grade = b.column(0).to_pylist()
             for i, j, t in tb.chunks(tb.texts(b.column(1))):
                 x = analyse(t)
-                lines = [x.facts[p:min(q, p + TRAIN_LINES)].astype(np.int8).tobytes()
+                lines = [x.facts[p:q].astype(np.int8).tobytes()
                          for p, q in zip(x.bounds[:-1], x.bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(grade[i:j], pa.int32()), pa.array(lines, pa.binary())],
                                                  schema=schema)

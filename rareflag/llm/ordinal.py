@@ -31,8 +31,8 @@ from rareflag.llm import textbytes as tb
 
 SLOT_BITS = 26
 SCREEN = 6.0
-#: bound on rated texts in the fit, and on the features taken of one of them (by hash, not by place)
-TRAIN_TEXTS, TRAIN_FEATURES = 6000, 4000
+#: bound on rated texts in the fit
+TRAIN_TEXTS = 6000
 PREFIXES = (4, 6)
 #: probability of the best grade from which a text is selected
 KEEP = 0.5
@@ -210,12 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = 3) -> Model:
             grade = b.column(0).to_pylist()
             for i, j, t in tb.chunks(tb.texts(b.column(1))):
                 slot, bounds = distinct(*features(t), j - i)
-                rows = []
-                for p, q in zip(bounds[:-1], bounds[1:], strict=True):
-                    own = slot[p:q]
-                    if len(own) > TRAIN_FEATURES:
-                        own = np.sort(own[np.argsort(tb.mix(own.astype(tb.U64)))[:TRAIN_FEATURES]])
-                    rows.append(own.astype("<i4").tobytes())
+                rows = [slot[p:q].astype("<i4").tobytes() for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(grade[i:j], pa.int32()), pa.array(rows, pa.binary())],
                                                  schema=schema)
 
@@ -235,7 +230,7 @@ def grade(docs: DataFrame, model: Model, carry: list[str], text: str = "text") -
     A null, empty or wordless text has no words: grade 0, tail probability 0, not kept. Repeated rows get
     equal answers; an empty table an empty result; a model of fewer than two grades keeps every text with words.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TRAIN_TEXTS * TRAIN_FEATURES weights, in fact those that pass the screen
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # only the weights that pass the screen
     out = docs.select(*carry).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +211,28 @@ def test_viterbi_equals_all_paths():
     assert np.isclose(score(got.astype(int).tolist()), max(map(score, paths)))
 
 
+def test_long_texts_train_whole(spark, monkeypatch):
+    """The labels differ only after line 100; a long text has all its features in the fit."""
+    rng = random.Random(2)
+    texts = []
+    for i in range(20):
+        lines = [words_of(rng) for _ in range(120)]
+        texts.append("\n".join(lines + (["!!! $$$ ###"] * 60 if i % 2 else [words_of(rng) for _ in range(60)])))
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    field = line_crf.fit(docs, labels)
+    verdict = {r.doc_id: (r.n_content_lines, r.n_lines) for r in line_crf.quality(docs, field).collect()}
+    assert all(verdict[i][0] == verdict[i][1] for i in range(0, 20, 2))
+    assert all(verdict[i][0] < verdict[i][1] for i in range(1, 20, 2))
+    seen = []
+    monkeypatch.setattr(ordinal, "fit_rows", lambda slot, bounds, *_: seen.append(sorted(np.diff(bounds))))
+    wide = [" ".join(f"{w}{i}" for w in words_of(rng, 5000).split()) for i in range(6)]
+    ordinal.fit(spark.createDataFrame(list(enumerate(wide)), "doc_id long, text string"), labels)
+    (_, n, text), = ordinal.tb.chunks(ordinal.tb.texts(pa.array(wide)))
+    want = sorted(np.diff(ordinal.distinct(*ordinal.features(text), n)[1]))
+    assert seen == [want] and want[0] > 4000
+
+
 def test_main_text(spark):
     page = ("<html><head><title>T</title><style>p{{}}</style></head><body><nav><a href='/'>Home</a></nav><main><article>"
             "<h1>Head &amp; more</h1><p>First   part\n{}</p><script>x()</script><p>Second</p></article></main>"
