@@ -130,3 +130,120 @@ from r where id not in (select id from u)
 """
 
 ORACLES = ORACLES | {"op2_license_scan": _op2(), "op4_tool_calls": OP4}
+
+
+def _op11(k: int = 16, rounds: int = 3) -> str:
+    """Every distance computed; the rounds written out."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} as (select vec_id, rid, v, c, d from (select v.vec_id, v.rid, v.v, cen.c, {_D11} d,
+           row_number() over (partition by v.rid order by {_D11}, cen.c) rn from v, c{r} cen) where rn = 1)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} as (select c, list(m order by i) m from (select c, i, (s - ((s % n) + n) % n) // n m from (
+           select c, i, sum(v[i])::hugeint s, count(*)::hugeint n from a{r}, range(1, 65) t(i) group by c, i)) group by c),
+c{r + 1} as (select c{r}.c, coalesce(list_transform(m{r}.m, lambda x: cast(x as bigint)), c{r}.m) m
+           from c{r} left join m{r} using (c))""")
+    return f"""
+with v as materialized (select vec_id, row_number() over () rid,
+        list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) v from embeddings
+      where len(embedding) = 64
+        and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as (select cast(row_number() over (order by sha256('1:' || vec_id), v) - 1 as integer) c, v m
+       from v qualify c < {k}),{",".join(steps)}
+select vec_id, c as cluster, cast(d as bigint) distance, cast(sum(d) over (partition by c) as bigint) cluster_inertia,
+       cast(sum(d) over () as bigint) inertia,
+       sha256(array_to_string(list_transform(m, lambda x: cast(x as varchar)), ',')) centroid_sha256
+from a{rounds} join c{rounds} using (c)
+"""
+
+
+_D11 = "list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - cen.m[i]) * (v.v[i] - cen.m[i])))"
+
+
+OP12 = """
+with d as (select doc_id, encode(coalesce(text, '')) b, row_number() over () rid from documents),
+h as (select doc_id, rid, hex(b) x, octet_length(b) n from d),
+w as (select doc_id, rid, p, substr(x, 2 * p + 1, 100) s from (select *, unnest(range(0, n - 49)) p from h where n >= 50)),
+f as (select s, min(doc_id) f from w group by s having count(*) > 1),
+g as (select rid, p from w join f using (s) where f < doc_id),
+e as (select rid, p, p - max(p) over (partition by rid order by p rows between unbounded preceding and 1 preceding) gap
+      from g),
+r as (select rid, run, min(p) a, max(p) + 50 z from (select rid, p, sum(case when gap <= 50 then 0 else 1 end)
+        over (partition by rid order by p) run from e) group by rid, run),
+k as (select rid, a, z, coalesce(lag(z) over (partition by rid order by a), 0) prev,
+             row_number() over (partition by rid order by a desc) last from r),
+kept as (select rid, sum(z - a) gone, count(*) spans,
+                string_agg(substr(x, 2 * prev + 1, 2 * (a - prev)), '' order by a)
+                  || any_value(case when last = 1 then substr(x, 2 * z + 1) end) x
+         from k join h using (rid) group by rid)
+select doc_id, cast(n as bigint) n_bytes, cast(coalesce(gone, 0) as bigint) n_removed,
+       cast(coalesce(spans, 0) as bigint) n_spans, sha256(unhex(coalesce(kept.x, h.x))) kept_sha256
+from h left join kept using (rid)
+"""
+
+
+def _f13(c: str) -> str:
+    return (f"case when {c} is null then '-' else octet_length(encode(cast({c} as varchar))) || ':' || "
+            f"cast({c} as varchar) end")
+
+
+def _crc_table() -> list[int]:
+    """The reflected CRC-32 table, by its rule."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+def _op13() -> str:
+    rest = " || ".join(_f13(c) for c in ("source", "lang", "n_chars"))
+    leaf = f"sha256({_f13('doc_id')} || {rest} || {_f13('text')})"
+    cut = f"sha256({_f13('doc_id')} || {rest} || {_f13('cut')})"
+    crc = ("list_reduce(list_transform(string_split(cast(doc_id as varchar), ''), lambda ch: cast(ord(ch) as bigint)), "
+           f"lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1]), 4294967295::bigint)")
+
+    def tree(name: str, base: str) -> str:
+        """Levels of every group's tree: (grp, lvl, pos, hash, n)."""
+        return f"""
+{name} as (
+  select grp, 0 lvl, pos, hash, n from {base}
+  union all
+  select grp, any_value(lvl) + 1, pos // 3, sha256(string_agg(hash, '' order by pos)), (any_value(n) + 2) // 3
+  from {name} where n > 1 group by grp, pos // 3)"""
+
+    def path(name: str, levels: str, leaves: str) -> str:
+        """Siblings of each leaf at each level: before and after."""
+        return f"""
+{name} as (select l.grp, l.pos, s.lvl,
+   coalesce(string_agg(s.hash, '' order by s.pos) filter (s.pos < l.pos // pow(3, s.lvl)::bigint), '') b,
+   coalesce(string_agg(s.hash, '' order by s.pos) filter (s.pos > l.pos // pow(3, s.lvl)::bigint), '') a
+  from {leaves} l join {levels} s on s.grp = l.grp and s.n > 1 and s.pos // 3 = l.pos // pow(3, s.lvl + 1)::bigint
+  group by 1, 2, 3)"""
+
+    return f"""
+with recursive d as (select *, replace(text, chr(10), '') cut, case when source is null then '' else '+' || source end grp
+                     from documents),
+leaf as (select doc_id, grp, {leaf} hash,
+                case when {crc} % 2 = 1 then {cut} else {leaf} end seen from d),
+base as (select doc_id, grp, hash, seen, row_number() over (partition by grp order by doc_id nulls first, hash) - 1 pos,
+                count(*) over (partition by grp) n from leaf),{tree("lev", "base")},
+sub as (select grp, hash from lev where n = 1),
+top as (select '' grp, grp name, hash, row_number() over (order by grp) - 1 pos, count(*) over () n from sub),{tree("toplev", "top")},
+root as (select hash from toplev where n = 1),{path("p1", "lev", "base")},{path("p2", "toplev", "top")},
+steps as (select base.grp, base.pos, p1.lvl, p1.b, p1.a from base join p1 on p1.grp = base.grp and p1.pos = base.pos
+  union all select base.grp, base.pos, 1000 + p2.lvl, p2.b, p2.a
+  from base join top on top.name = base.grp join p2 on p2.pos = top.pos),
+proof as (select grp, pos, list([b, a] order by lvl) st, string_agg(b || a, '' order by lvl) s from steps group by 1, 2)
+select doc_id, base.hash leaf, sub.hash subroot, root.hash root, sha256(coalesce(s, '')) proof_sha256,
+       coalesce(list_reduce(list_prepend([seen, ''], st), lambda h, x: [sha256(x[1] || h[1] || x[2]), ''])[1], seen) folded_root,
+       coalesce(list_reduce(list_prepend([seen, ''], st), lambda h, x: [sha256(x[1] || h[1] || x[2]), ''])[1], seen)
+         = root.hash verified
+from base join sub using (grp) left join proof on proof.grp = base.grp and proof.pos = base.pos, root
+"""
+
+
+ORACLES = ORACLES | {"op11_centroid_clusters": _op11(), "op12_suffix_dedup": OP12, "op13_merkle_manifest": _op13()}

@@ -14,9 +14,12 @@ from rareflag.llm import (
     ecoc_langid,
     licenses,
     line_crf,
+    merkle,
     oddsketch,
     ordinal,
+    pivot_means,
     site_style,
+    suffix_dedup,
     tool_calls,
     unigram_count,
     winnow,
@@ -72,5 +75,27 @@ def op10_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.quality_grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pivot_means.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+    return out.drop("exact_checks")
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), span=50)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    cut = docs.withColumn("tampered", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, merkle.digest(
+        *(merkle.field(F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c)) for c in fields))))
+    out = merkle.manifest(cut, fields, "source", "doc_id", carry=("tampered",))
+    out = out.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf")))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root",
+                      (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
