@@ -160,6 +160,19 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 _OUT_SQL = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
 
+_CODEC = pa.Codec("zstd", 1)
+
+
+def _packed(raw: bytes | np.ndarray) -> bytes:
+    """Length and compressed bytes: what travels between packs and shards is mostly text."""
+    raw = raw.tobytes() if isinstance(raw, np.ndarray) else raw
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True) if raw else b""
+
+
+def _opened(raw: bytes) -> bytes:
+    return _CODEC.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True) if raw else b""
+
+
 def _sql(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'bigint'}" for f in schema)
 
@@ -169,8 +182,8 @@ def _count_rows(rows: pa.Table, span: int, shards: int) -> pa.Table:
     pack, name = _pack(rows), rows.column("pack")[0].as_py()
     found = [_place(anchors(t, span)[0].hash, shards) for _, _, t in tb.chunks(pack.texts, 1 << 20)]
     place, count = np.unique(np.concatenate(found), return_counts=True)
-    count = np.minimum(count, 255).astype(np.uint8)
-    out = {s: [place[r].astype("<u4").tobytes(), count[r].tobytes(), b"", b""]
+    count = np.minimum(count, 65535).astype("<u2")
+    out = {s: [place[r].astype("<u4").tobytes(), _packed(count[r]), b"", b""]
            for s, r in _by_shard((place >> U64(32)).astype(np.int64))}
     texts: dict[int, list] = {}
     for h, d in sorted(_firsts(pack).items()):
@@ -192,7 +205,7 @@ def _flag_rows(rows: pa.Table, hot: int = HOT) -> pa.Table:
     """Of each anchor of each pack 1 if it occurs again, 2 if it is hot; of each text its smallest doc_id."""
     raw = [c.to_pylist() for c in rows.select(["hashes", "counts", "digests", "ids"]).columns]
     hashes = np.frombuffer(b"".join(raw[0]), "<u4")
-    counts = np.frombuffer(b"".join(raw[1]), np.uint8)
+    counts = np.frombuffer(b"".join(map(_opened, raw[1])), "<u2")
     _, back = np.unique(hashes, return_inverse=True)
     total = np.bincount(back, weights=counts)
     flag = ((total > 1) + (total > hot).astype(np.int8)).astype(np.uint8)[back]
@@ -203,7 +216,7 @@ def _flag_rows(rows: pa.Table, hot: int = HOT) -> pa.Table:
     np.minimum.at(least, back, ids)
     return pa.Table.from_arrays(
         [rows.column("shard").combine_chunks(), rows.column("pack").combine_chunks(),
-         pa.array(_split(flag, [len(x) for x in raw[1]]), pa.binary()),
+         pa.array(map(_packed, _split(flag, [len(x) // 4 for x in raw[0]])), pa.binary()),
          pa.array(_split(least[back].astype("<i8"), [len(x) // 16 for x in raw[2]]), pa.binary())], schema=_FLAGS)
 
 
@@ -223,7 +236,7 @@ def _piece_rows(rows: pa.Table, flag_rows: pa.Table, span: int, shards: int) ->
     """Pass 2 over a pack: its different pieces, for each shard, and (shard -1) where they occur."""
     pack, name, k = _pack(rows), rows.column("pack")[0].as_py(), span // 2 + 1
     flags = sorted(zip(*(flag_rows.column(c).to_pylist() for c in ("shard", "flags", "ids")), strict=True))
-    flag = np.frombuffer(b"".join(x for _, x, _ in flags), np.uint8)
+    flag = np.frombuffer(b"".join(_opened(x) for _, x, _ in flags), np.uint8)
     least = _stands(pack, flags, shards)
     own = pack.doc == least
     own[1:] &= np.array([a != b for a, b in zip(pack.digest[1:], pack.digest[:-1], strict=True)], bool) | (
@@ -256,11 +269,10 @@ def _piece_rows(rows: pa.Table, flag_rows: pa.Table, span: int, shards: int) ->
     out = []
     for s, r in _by_shard((key[rep] >> U64(32)).astype(np.int64)):
         pick = rep[r]
-        out.append((s, key[pick].astype("<u4").tobytes(), chash[pick].astype("<u8").tobytes(),
-                    count[pick].astype(np.uint8).tobytes(), least_id[r].astype("<i8").tobytes(),
-                    pack.texts.data[_ragged(start[pick], count[pick] + span - 1)].tobytes()))
-    out.append((-1, piece.astype("<i4").tobytes(), start.astype("<i8").tobytes(), text.astype("<i4").tobytes(),
-                least.astype("<i8").tobytes(), b""))
+        out.append((s, key[pick].astype("<u4"), chash[pick].astype("<u8"), count[pick].astype(np.uint8),
+                    least_id[r].astype("<i8"), pack.texts.data[_ragged(start[pick], count[pick] + span - 1)]))
+    out.append((-1, piece.astype("<i4"), start.astype("<i8"), text.astype("<i4"), least.astype("<i8"), b""))
+    out = [(s, *map(_packed, blobs)) for s, *blobs in out]
     cols = list(zip(*out, strict=True))
     return pa.Table.from_arrays([pa.array(cols[0], pa.int64()), pa.array([name] * len(out), pa.int64()),
                                  *(pa.array(c, pa.binary()) for c in cols[1:])], schema=_PIECES)
@@ -298,7 +310,8 @@ def first_docs(data: np.ndarray, size: np.ndarray, doc: np.ndarray, span: int) -
 def _array_rows(rows: pa.Table, span: int, array: int = ARRAY) -> pa.Table:
     """A shard: for each piece of each pack its runs of windows (keys: runs, counts: windows) and
     their smallest doc_id (ids)."""
-    raw = [c.to_pylist() for c in rows.select(["keys", "hashes", "counts", "ids", "data"]).columns]
+    raw = [[_opened(x) for x in c.to_pylist()]
+           for c in rows.select(["keys", "hashes", "counts", "ids", "data"]).columns]
     key, chash = np.frombuffer(b"".join(raw[0]), "<u4"), np.frombuffer(b"".join(raw[1]), "<u8")
     count, doc = np.frombuffer(b"".join(raw[2]), np.uint8).astype(np.int64), np.frombuffer(b"".join(raw[3]), "<i8")
     data = np.frombuffer(b"".join(raw[4]), np.uint8)
@@ -339,9 +352,9 @@ def _array_rows(rows: pa.Table, span: int, array: int = ARRAY) -> pa.Table:
     none = pa.array([b""] * rows.num_rows, pa.binary())
     return pa.Table.from_arrays(
         [rows.column("shard").combine_chunks(), rows.column("pack").combine_chunks(),
-         pa.array(_split(mine.astype(np.uint8), per_row), pa.binary()), none,
-         pa.array(_split(length[pick].astype(np.uint8), sizes), pa.binary()),
-         pa.array(_split(first[at][pick].astype("<i8"), sizes), pa.binary()), none], schema=_PIECES)
+         pa.array(map(_packed, _split(mine.astype(np.uint8), per_row)), pa.binary()), none,
+         pa.array(map(_packed, _split(length[pick].astype(np.uint8), sizes)), pa.binary()),
+         pa.array(map(_packed, _split(first[at][pick].astype("<i8"), sizes)), pa.binary()), none], schema=_PIECES)
 
 
 def _removal_rows(rows: pa.Table, found: pa.Table, span: int) -> pa.Table:
@@ -349,6 +362,7 @@ def _removal_rows(rows: pa.Table, found: pa.Table, span: int) -> pa.Table:
     pack = _pack(rows)
     back = sorted(zip(*(found.column(c).to_pylist() for c in ("shard", "keys", "hashes", "counts", "ids")),
                       strict=True))
+    back = [(s, *map(_opened, blobs)) for s, *blobs in back]
     _, piece, start, text, least = back[0]
     piece, text = np.frombuffer(piece, "<i4"), np.frombuffer(text, "<i4")
     start, least = np.frombuffer(start, "<i8"), np.frombuffer(least, "<i8")
