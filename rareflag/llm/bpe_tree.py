@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 LEAF = 64
-#: pretokens kept with their encoding, for each Python worker
-CACHE = 400_000
+#: bytes of pretokens kept with their encoding, for each Python worker
+CACHE = 48 << 20
+#: bytes of Python objects around each kept pretoken
+ENTRY = 300
 ROWS = 512
 
 
@@ -124,7 +126,7 @@ class WordBpe(dict):
             raise ValueError(f"unsupported tokenizer file: {kinds}")
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.merger = Merger({(a, b): i for i, (a, b) in enumerate(pairs)}, leaf)
-        self.vocab, self.suffix, self.limit = model["vocab"], model["end_of_word_suffix"] or "", cache
+        self.vocab, self.suffix, self.limit, self.held = model["vocab"], model["end_of_word_suffix"] or "", cache, 0
         self.packed = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
         self.symbols = byte_symbols()
         pattern = pre["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
@@ -142,9 +144,13 @@ class WordBpe(dict):
         tokens = self.merger.merge_word(sym) if len(sym) <= self.merger.leaf else self.merger.encode(sym)[0]
         tokens = [t for t in tokens if t in self.vocab]  # without an unknown token, others vanish
         out = b"".join([self.packed[t] for t in tokens]), " ".join(tokens)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = out
+        if len(sym) <= self.merger.leaf:  # longer ones hardly come back
+            size = ENTRY + len(word) + len(out[0]) + len(out[1])
+            if self.held + size > self.limit:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[word] = out
         return out
 
     def pretokens(self, text: str) -> list[str]:
@@ -167,6 +173,17 @@ class WordBpe(dict):
         return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])
 
 
+_LOADED: dict[str, WordBpe] = {}
+
+
+def loaded(path: str) -> WordBpe:
+    """The tokenizer of a file, one for each Python worker: Spark reuses workers, and its cache stays warm."""
+    if path not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path] = WordBpe(path)
+    return _LOADED[path]
+
+
 def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids (array<int>), decoded (the decoded ids).
 
@@ -175,7 +192,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(path)
+        bpe = loaded(path)
         for b in batches:
             for i in range(0, b.num_rows, ROWS):
                 part = b.slice(i, ROWS)
