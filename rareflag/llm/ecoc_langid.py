@@ -32,6 +32,8 @@ from rareflag.llm import textbytes as tb
 
 SLOTS = 1 << 15
 BLOCK = 1 << 12
+#: bytes whose n-grams are in memory at a time
+SLICE = 1 << 18
 ORDERS = (2, 3, 4)
 #: bound on the texts a language from which the bits' reliability is measured
 CALIBRATION = 500
@@ -75,31 +77,36 @@ def codewords(n: int) -> np.ndarray:
     return best
 
 
-def slots(t: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """(slot of each n-gram, grams of each text) with a text's grams in a row for each order."""
-    b = _LETTER[t.data]
-    lead = t.data == 0xC3  # Latin-1 capitals: C3 80..9E but 97 are 20 below their small letters
-    if lead.any():
-        nxt = np.flatnonzero(lead[:-1]) + 1
-        up = (t.data[nxt] >= 0x80) & (t.data[nxt] <= 0x9E) & (t.data[nxt] != 0x97)
-        b[nxt[up]] += 0x20
-    wide = b.astype(np.uint32)
-    n = len(b)
-    owner = np.repeat(np.arange(len(t.offsets) - 1, dtype=np.int32), np.diff(t.offsets))
-    code, found, own = wide, [], []
-    space = b == 0x20
-    for k in range(2, max(ORDERS) + 1):
-        if n < k:
-            break
-        code = (code[:n - k + 1] << np.uint32(8)) | wide[k - 1:]
-        if k in ORDERS:
-            # a gram starts with a letter or with the space before one
-            ok = (owner[:n - k + 1] == owner[k - 1:]) & ~(space[:n - k + 1] & space[1:n - k + 2])
-            found.append((code[ok] * _MULT[k]) >> np.uint32(32 - 15))
-            own.append(owner[:n - k + 1][ok])
-    if not found:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int32)
-    return np.concatenate(found), np.concatenate(own)
+def slots(t: tb.Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(slot of each n-gram, its text), for the n-grams that start in each ``SLICE`` bytes in a row: the arrays
+    for one slice are bounded, however long a text is."""
+    n = len(t.data)
+    for first in range(0, n, SLICE):
+        lo, hi = max(first - 1, 0), min(first + SLICE + max(ORDERS) - 1, n)  # a byte before tells Latin-1 capitals
+        raw = t.data[lo:hi]
+        b = _LETTER[raw]
+        lead = raw == 0xC3  # Latin-1 capitals: C3 80..9E but 97 are 20 below their small letters
+        if lead.any():
+            nxt = np.flatnonzero(lead[:-1]) + 1
+            up = (raw[nxt] >= 0x80) & (raw[nxt] <= 0x9E) & (raw[nxt] != 0x97)
+            b[nxt[up]] += 0x20
+        b = b[first - lo:]
+        owner = np.repeat(np.arange(len(t.offsets) - 1, dtype=np.int32), np.diff(np.clip(t.offsets, first, hi)))
+        space = b == 0x20
+        code = wide = b.astype(np.uint32)
+        found, own = [], []
+        for k in range(2, max(ORDERS) + 1):
+            if len(b) < k:
+                break
+            code = (code[:len(b) - k + 1] << np.uint32(8)) | wide[k - 1:]
+            if k in ORDERS:
+                m = min(len(code), SLICE)
+                # a gram starts with a letter or with the space before one
+                ok = (owner[:m] == owner[k - 1:k - 1 + m]) & ~(space[:m] & space[1:m + 1])
+                found.append((code[:m][ok] * _MULT[k]) >> np.uint32(32 - 15))
+                own.append(owner[:m][ok])
+        if found:
+            yield np.concatenate(found), np.concatenate(own)
 
 
 def is_letterless(text: str | None) -> bool:
@@ -108,12 +115,13 @@ def is_letterless(text: str | None) -> bool:
 
 def margins(t: tb.Texts, weights: np.ndarray) -> np.ndarray:
     """(texts, bits): mean weight of the n-grams times the square root of their number."""
-    slot, own = slots(t)
     n = len(t.offsets) - 1
-    count = np.bincount(own, minlength=n).astype(np.float64)
-    scale = 1 / np.sqrt(np.maximum(count, 1))
-    return np.stack([np.bincount(own, weights=weights[slot, k], minlength=n) * scale
-                     for k in range(weights.shape[1])], axis=1)
+    count, total = np.zeros(n), np.zeros((n, weights.shape[1]))
+    for slot, own in slots(t):
+        count += np.bincount(own, minlength=n)
+        for k in range(weights.shape[1]):
+            total[:, k] += np.bincount(own, weights=weights[slot, k], minlength=n)
+    return total / np.sqrt(np.maximum(count, 1))[:, None]
 
 
 def decode(m: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,11 +142,11 @@ def _counts(train: DataFrame) -> DataFrame:
         for b in batches:
             langs = np.array(b.column(0).to_pylist(), object)
             for i, j, t in tb.chunks(tb.texts(b.column(1))):
-                slot, own = slots(t)
                 for lang in set(langs[i:j]):
-                    pick = (langs[i:j] == lang)[own] if len(own) else np.zeros(0, bool)
                     sums.setdefault(lang, np.zeros(SLOTS, np.int64))
-                    sums[lang] += np.bincount(slot[pick], minlength=SLOTS)
+                for slot, own in slots(t):
+                    for lang in set(langs[i:j]):
+                        sums[lang] += np.bincount(slot[(langs[i:j] == lang)[own]], minlength=SLOTS)
         part = TaskContext.get().partitionId() % 64  # spreads the first level of sums
         rows = [{"lang": k, "block": i // BLOCK, "part": int(part), "counts": v[i:i + BLOCK].tolist()}
                 for k, v in sums.items() for i in range(0, SLOTS, BLOCK)]
@@ -160,10 +168,11 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Learn from all rows with a text and a language; no row at all gives a model without languages."""
     rows = train.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"))
+    sizes = rows.groupBy("lang").agg(F.count_if(F.length("text") > 0).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:  # before any language's counts are gathered
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     blocks = _counts(rows).collect()  # languages x SLOTS numbers
     langs = sorted({r["lang"] for r in blocks})
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages, more than {MAX_LANGUAGES}")
     counts = np.zeros((len(langs), SLOTS))
     for r in blocks:
         counts[langs.index(r["lang"]), r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = r["counts"]
@@ -177,8 +186,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     if len(langs) > 1:
         # a bounded sample: the texts of the smallest hashes of each language
         pick = rows.select("lang", "text", F.xxhash64("text").alias("h")).where(F.length("text") > 0)
-        edge = {r["lang"]: r["q"] for r in pick.groupBy("lang").agg(F.count("*").alias("n")).select(
-            "lang", (F.least(F.lit(1.0), F.lit(CALIBRATION * 0.5) / F.col("n"))).alias("q")).collect()}
+        edge = {r["lang"]: min(1.0, CALIBRATION * 0.5 / r["n"]) for r in sizes if r["n"]}
         share = F.pmod("h", F.lit(1 << 20)) / (1 << 20)
         keep = F.lit(False)
         for k, q in edge.items():
@@ -209,33 +217,38 @@ def identify(docs: DataFrame, model: Model, carry: list[str], text: str = "text"
 
     A null text, one without a letter, and any text under a model without languages is
     ``und`` with score 0, not ambiguous. Long texts are read whole. Ties take the language
-    first in the alphabet. Repeated rows get equal answers; an empty table an empty result.
+    first in the alphabet. Repeated rows get equal answers; an empty table an empty result. A carried
+    column with the name of an output is an error.
     """
+    tb.no_clash(carry, ("lang_pred", "score", "ambiguous"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x SLOTS numbers at most
-    src = docs.select(*carry, F.col(text).alias("_text"))
+    src = docs.select(*carry) if text in carry else docs.select(*carry, F.col(text).alias("_text"))
+    at = carry.index(text) if text in carry else len(carry)
     out = docs.select(*carry).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            col = b.column(b.num_columns - 1)
-            whole = tb.texts(col)
-            plain = np.concatenate(([0], np.cumsum((whole.data | 0x20) - 0x61 < 26)))  # ASCII letters so far
-            plain = np.diff(plain[whole.offsets]) > 0
-            pred, score, vague = [], [], []
-            for i, j, t in tb.chunks(whole):
+            col = b.column(at)
+            for i, j, t in tb.chunks(tb.texts(col)):
+                some = np.diff(t.offsets) > 0
+                plain = np.zeros(j - i, bool)  # has an ASCII letter
+                if some.any():
+                    plain[some] = np.logical_or.reduceat((t.data | 0x20) - 0x61 < 26, t.offsets[:-1][some])
                 if not model.langs:
                     k, s, v = np.zeros(j - i, int), np.zeros(j - i), np.zeros(j - i, bool)
                 else:
                     k, s, v = decode(margins(t, model.weights), model)
-                for q in range(i, j):
-                    none = not model.langs or (not plain[q] and is_letterless(col[q].as_py()))
-                    pred.append(UNDETERMINED if none else model.langs[k[q - i]])
-                    score.append(0.0 if none else float(s[q - i]))
-                    vague.append(bool(v[q - i]) and not none)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(vague, pa.bool_())],
-                names=[*b.schema.names[:-1], "lang_pred", "score", "ambiguous"])
+                pred, score, vague = [], [], []
+                for q in range(j - i):
+                    none = not model.langs or (not plain[q] and is_letterless(col[i + q].as_py()))
+                    pred.append(UNDETERMINED if none else model.langs[k[q]])
+                    score.append(0.0 if none else float(s[q]))
+                    vague.append(bool(v[q]) and not none)
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(i, j - i) for c in b.columns[:len(carry)]), pa.array(pred, pa.string()),
+                     pa.array(score, pa.float64()), pa.array(vague, pa.bool_())],
+                    names=[*carry, "lang_pred", "score", "ambiguous"])
 
     return src.mapInArrow(run, ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in out] + ["lang_pred string, score double, ambiguous boolean"]))

@@ -36,6 +36,8 @@ TRAIN_TEXTS = 6000
 PREFIXES = (4, 6)
 #: probability of the best grade from which a text is selected
 KEEP = 0.5
+#: bytes of text (one text at least) whose features are in memory at a time
+CHUNK = 1 << 19
 
 _a = np.arange(256)
 _SYM = np.isin(_a, list(b"#*$%&|<>!"))
@@ -229,24 +231,28 @@ def grade(docs: DataFrame, model: Model, carry: list[str], text: str = "text") -
 
     A null, empty or wordless text has no words: grade 0, tail probability 0, not kept. Repeated rows get
     equal answers; an empty table an empty result; a model of fewer than two grades keeps every text with words.
+    A carried column with the name of a result is an error.
     """
+    tb.no_clash(carry, ("position", "expected_grade", "tail_prob", "kept"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # only the weights that pass the screen
+    src = docs.select(*carry) if text in carry else docs.select(*carry, F.col(text).alias("_text"))
+    at = carry.index(text) if text in carry else len(carry)
     out = docs.select(*carry).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            for i, j, t in tb.chunks(tb.texts(b.column(b.num_columns - 1))):
+            for i, j, t in tb.chunks(tb.texts(b.column(at)), CHUNK):
                 s = positions(*known(*features(t), j - i, model.slots), model.weights)
                 p = tails(s, model.cuts)
                 none = np.diff(tb.word_spans(t, tb.NOT_SPACE)[2]) == 0
                 p[none], s[none] = 0, 0
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(i, j - i) for c in b.columns[:-1]), pa.array(s), pa.array(p.sum(axis=1)),
+                    [*(c.slice(i, j - i) for c in b.columns[:len(carry)]), pa.array(s), pa.array(p.sum(axis=1)),
                      pa.array(p[:, -1]), pa.array(p[:, -1] >= KEEP)],
-                    names=[*b.schema.names[:-1], "position", "expected_grade", "tail_prob", "kept"])
+                    names=[*carry, "position", "expected_grade", "tail_prob", "kept"])
 
-    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(run, ", ".join(
+    return src.mapInArrow(run, ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in out] +
         ["position double, expected_grade double, tail_prob double, kept boolean"]))
 

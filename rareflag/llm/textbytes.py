@@ -91,6 +91,13 @@ def chunks(t: Texts, size: int = CHUNK) -> Iterator[tuple[int, int, Texts]]:
         i = j
 
 
+def no_clash(carry: list[str], made: tuple[str, ...]) -> None:
+    """Carried columns may not have the names of columns that are made."""
+    both = sorted({c.lower() for c in carry} & set(made))
+    if both:
+        raise ValueError(f"carried columns have the names of results: {both}")
+
+
 def word_spans(t: Texts, is_word: np.ndarray, mapping: np.ndarray = SAME) -> tuple[np.ndarray, ...]:
     """(start, end, bounds, mapped data, mask) of the words of the texts."""
     data = mapping[t.data] if mapping is not SAME else t.data
