@@ -204,10 +204,15 @@ def q_pca_explained(spark, sf_dir):
 
 # ------------------------------------------------------------- search, store, leaderboard
 
+#: all six families; each line of trees, rounds and neighbours needs one training a fold
 SEARCH_GRID = {
-    "rfc": {"n_estimators": [10, 30], "max_depth": [4, 8], "min_samples_leaf": [1], "bootstrap": [False]},
-    "dt": {"criterion": ["gini", "entropy"], "max_depth": [4], "min_samples_leaf": [1]},
+    "rfc": {"n_estimators": [10, 30], "max_depth": [4, 8], "min_samples_split": [2, 10], "min_samples_leaf": [1],
+            "bootstrap": [False]},
+    "svc": {"C": [10.0], "kernel": ["rbf"], "degree": [2, 3]},
+    "knn": {"n_neighbors": [3, 5, 7], "weights": ["uniform", "distance"], "p": [1], "algorithm": ["ball_tree", "kd_tree"]},
     "lr": {"C": [1.0, 10.0], "penalty": ["l2"], "solver": ["lbfgs", "liblinear"]},
+    "dt": {"criterion": ["gini", "entropy"], "max_depth": [2, 4], "min_samples_split": [2, 10], "min_samples_leaf": [1]},
+    "ada": {"n_estimators": [5, 10], "learning_rate": [1.0]},
 }
 
 
