@@ -11,18 +11,19 @@ from dataclasses import dataclass, field
 
 # Bands and sequence numbers of the telescope table.
 BANDS = ["R", "B"]
+WHOLE_SOURCE = ["NEW_SRC", "DMAG_CAT"]  # not by sequence; last in every set
 
 
 def feature_set(n_sequences: int) -> list[str]:
     """Cumulative feature set for sequences 0..n-1 (P3): calibrated
     magnitude, its error, variation (no sequence 0) and extraction flag per
-    band, in configured order."""
+    band, then the source's own columns, in configured order: 8, 16, 24, 32 names."""
     seqs = range(n_sequences)
     cols = [f"MAGCAL_{b}{s}" for s in seqs for b in BANDS]
     cols += [f"MAGERR_{b}{s}" for s in seqs for b in BANDS]
     cols += [f"MAGVAR_{b}{s}" for s in seqs if s > 0 for b in BANDS]
     cols += [f"EFLAG_{b}{s}" for s in seqs for b in BANDS]
-    return cols
+    return cols + WHOLE_SOURCE
 
 
 OBS_FEATURE_SETS = {
@@ -49,3 +50,7 @@ class RunConfig:
     test_size: float = 0.2
     seed: int = 123
     mode: str = "batch"
+    id_col: str = "id"
+    flag_cols: list[str] = field(default_factory=list)
+    binary_cols: list[str] = field(default_factory=list)
+    resample: bool = False

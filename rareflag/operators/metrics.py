@@ -150,24 +150,24 @@ def _curve_points(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "p1") -> DataFrame:
-    """(threshold, fpr, tpr) per distinct score."""
+    """(threshold, fpr, tpr) per distinct score (W6); the rate of an absent class is null."""
     c = _curve_points(df, label, score)
-    return c.select("threshold", (F.col("fp") / F.col("ff")).alias("fpr"),
-                    (F.col("tp") / F.col("tt")).alias("tpr"))
+    return c.select("threshold", (F.try_divide("fp", "ff")).alias("fpr"),
+                    (F.try_divide("tp", "tt")).alias("tpr"))
 
 
 def pr_curve(df: DataFrame, label: str = "label", score: str = "p1") -> DataFrame:
     """(threshold, precision, recall) per distinct score."""
     c = _curve_points(df, label, score)
     return c.select("threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-                    (F.col("tp") / F.col("tt")).alias("recall"))
+                    (F.try_divide("tp", "tt")).alias("recall"))
 
 
 def roc_auc_ap(df: DataFrame, label: str = "label", score: str = "p1") -> DataFrame:
-    """ROC AUC (trapezoids) and average precision Σ (R_n − R_{n−1}) P_n."""
+    """ROC AUC (trapezoids) and average precision Σ (R_n − R_{n−1}) P_n; null without rows of a class it needs."""
     c = _curve_points(df, label, score)
-    tpr, fpr = F.col("tp") / F.col("tt"), F.col("fp") / F.col("ff")
-    tpr0, fpr0 = F.col("tp0") / F.col("tt"), F.col("fp0") / F.col("ff")
+    tpr, fpr = F.try_divide("tp", "tt"), F.try_divide("fp", "ff")
+    tpr0, fpr0 = F.try_divide("tp0", "tt"), F.try_divide("fp0", "ff")
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
     return c.agg(F.sum((fpr - fpr0) * (tpr + tpr0) / 2).alias("auc"),
                  F.sum((tpr - tpr0) * prec).alias("average_precision"))

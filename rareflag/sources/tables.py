@@ -21,10 +21,35 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: Sequence[str] | None = None) -> DataFrame:
-    """Scan one driver table, NaN made NULL; ``columns`` prunes the parquet read."""
-    df = nan_to_null(spark.read.parquet(table_path(sf_dir, name)))
+#: comparison of a column and a value
+Comparison = tuple[str, str, object]
+
+
+def _compared(where: Sequence[Comparison]) -> Column:
+    out = F.lit(True)
+    for name, op, value in where:
+        if op not in ("<", "<=", "=", ">=", ">") or value is None:
+            raise ValueError(f"not a comparison with a value: {name} {op} {value!r}")
+        c, v = F.col(f"`{name}`"), F.lit(value)
+        out = out & {"<": c < v, "<=": c <= v, "=": c == v, ">=": c >= v, ">": c > v}[op]
+    return out
+
+
+def scanned(df: DataFrame, where: Sequence[Comparison] = ()) -> DataFrame:
+    """NaN made NULL, after and before the comparisons ``where``: they reach the parquet reader.
+
+    A filter on the result cannot pass the NaN rule of a float column. A comparison drops NULL, so
+    applying it to the raw column first drops no row that it would keep afterwards; NaN, which is
+    above every number in the raw column, goes at the second one."""
+    if not where:
+        return nan_to_null(df)
+    return nan_to_null(df.where(_compared(where))).where(_compared(where))
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None,
+               where: Sequence[Comparison] = ()) -> DataFrame:
+    """Scan one driver table, NaN made NULL; ``columns`` prunes the parquet read, ``where`` its row groups."""
+    df = scanned(spark.read.parquet(table_path(sf_dir, name)), where)
     return df.select(*columns) if columns else df
 
 
@@ -46,8 +71,8 @@ def nan_to_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFram
 
 
 def read_parquet(spark: SparkSession, *paths: str, schema: T.StructType | None = None,
-                 with_source: bool = False) -> DataFrame:
-    """Parquet scan of one or several files (S1, S3), NaN made NULL.
+                 with_source: bool = False, where: Sequence[Comparison] = ()) -> DataFrame:
+    """Parquet scan of one or several files (S1, S3), NaN made NULL; ``where`` reaches the reader.
 
     ``with_source`` adds the file each row came from, for stacked inputs.
     """
@@ -55,7 +80,7 @@ def read_parquet(spark: SparkSession, *paths: str, schema: T.StructType | None =
     df = reader.parquet(*paths)
     if with_source:
         df = df.withColumn("source_file", F.input_file_name())
-    return nan_to_null(df)
+    return scanned(df, where)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
