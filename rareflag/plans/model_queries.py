@@ -205,7 +205,7 @@ def q_pca_explained(spark, sf_dir):
 # ------------------------------------------------------------- search, store, leaderboard
 
 #: all six families; each line of trees, rounds and neighbours needs one training a fold
-SEARCH_GRID = {
+FULL_GRID = {
     "rfc": {"n_estimators": [10, 30], "max_depth": [4, 8], "min_samples_split": [2, 10], "min_samples_leaf": [1],
             "bootstrap": [False]},
     "svc": {"C": [10.0], "kernel": ["rbf"], "degree": [2, 3]},
@@ -215,6 +215,9 @@ SEARCH_GRID = {
     "ada": {"n_estimators": [5, 10], "learning_rate": [1.0]},
 }
 
+#: what the stored models of the leaderboard are chosen from
+SEARCH_GRID = {f: FULL_GRID[f] for f in ("rfc", "dt", "lr")}
+
 
 def _search(spark, sf_dir, grid=None, cv=3):
     from rareflag.plans.score import obs_preprocessing, prepared_obs
@@ -229,7 +232,7 @@ def _search(spark, sf_dir, grid=None, cv=3):
 def q_grid_search_results(spark, sf_dir):
     """cv_results: candidate x fold F1, mean, std, rank per family."""
     from rareflag.plans.search import summarize
-    _, res = _search(spark, sf_dir)
+    _, res = _search(spark, sf_dir, FULL_GRID)
     s = summarize(res.cv_results)
     return s.select("family", "candidate", "params", r6("mean_score").alias("mean_score"),
                     r6("std_score").alias("std_score"), "n_folds", "rank_in_family")
