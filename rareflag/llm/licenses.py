@@ -2,13 +2,18 @@
 
 All steps are DataFrame operations.
 
-* Every line of every file that holds one of the anchor words is a unit, and so is the
-  whole text of a licence file (by its name).
-* A unit is a sparse vector over its words: count times ln(1 + N / df), with df over all
-  units; words of no template weigh as much as the rarest. Units meet templates by an
-  equi-join on the words and the products are summed by (unit, template), so only pairs
-  that share a word are ever made. The template table is made from the given list, whose
-  size is checked before it is broadcast; a longer list takes a salted shuffle join.
+* Every line of every file is a unit, so is every block (a run of two or more non-blank
+  lines, which is how headers are wrapped) and the whole text of a licence file (by its name).
+* A unit is a sparse vector over its words: count times ln(1 + N / df), with N and df over all
+  units; words of no template weigh as much as the rarest. Document frequencies come from one
+  pass that counts only words of templates, before the shuffle.
+* Units meet templates by an equi-join on the words and the products are summed by (unit,
+  template). Which units can reach ``least`` is decided by a prefix filter: by Cauchy-Schwarz a
+  unit with none of a template's heaviest words, the others of which have a norm below ``least``
+  times the template's, stays below ``least``. The filter loses nothing; only units that pass it
+  have their words shuffled.
+* The templates are an argument of the driver; more than ``MAX_WORDS`` distinct words in them
+  are an error, so that their tables may be broadcast.
 * A file's licence is the best template with a cosine of ``MIN_COSINE`` or more. Files
   without one inherit from the nearest ancestor directory with a licence file: the
   distinct directories are exploded into their ancestors and joined by path with the
@@ -17,16 +22,19 @@ All steps are DataFrame operations.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rareflag.llm.scratch import written
 
 MIN_COSINE = 0.5
 SALTS = 16
-#: template words up to this number are broadcast
-SMALL = 20_000
-ANCHORS = r"licen[sc]|copyright|rights reserved|permission is hereby|public domain|spdx"
+#: distinct words of all templates together
+MAX_WORDS = 50_000
+#: cosines are rounded to six places; the prefix filter allows for that
+ROUNDING = 1e-5
+#: what lies between two blocks
+BLANK = r"\n(?:[ \t\r]*\n)+"
 WORD = r"[a-z0-9]+"
 LICENCE_FILE = r"^(license|licence|copying|unlicense|notice)(\.[a-z]+)?$"
 
@@ -53,52 +61,64 @@ TEMPLATES = [
 ]
 
 
-def _counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    words = df.select(*keys, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))).alias("word"))
-    return words.groupBy(*keys, "word").agg(F.count("*").alias("tf"))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
 def units(files: DataFrame) -> DataFrame:
-    """(rid, unit, body): lines with an anchor word, numbered from 1, and whole licence files, numbered 0."""
-    lines = files.select("rid", F.posexplode(F.split("text", "\n")).alias("at", "body")).where(
-        F.lower("body").rlike(ANCHORS)).select("rid", (F.col("at") + 1).alias("unit"), "body")
-    whole = files.where(F.col("is_licence") & (F.trim("text") != "")).select("rid", F.lit(0).alias("unit"),
-                                                                        F.col("text").alias("body"))
-    return lines.union(whole)
-
-
-def cosines(body: DataFrame, templates: list[tuple[str, str]], spark: SparkSession) -> DataFrame:
-    """(rid, unit, template, cosine) of the pairs that share a word."""
-    tf = written(_counts(body, ["rid", "unit"], "body"), "unit-words")
+    """(rid, unit, words) of the units with a word: lines from 1, blocks from -1 down, whole licence files 0."""
+    lines = F.transform(F.split("text", "\n"), lambda body, i: F.struct((i + 1).alias("unit"), body.alias("body")))
+    blocks = F.transform(F.split("text", BLANK), lambda body, i: F.struct(
+        (-1 - i).alias("unit"), F.trim(body, F.lit("\n")).alias("body")))
+    blocks = F.filter(blocks, lambda u: F.contains(u["body"], F.lit("\n")))
+    whole = F.when(F.col("is_licence"), F.array(F.struct(F.lit(0).alias("unit"), F.col("text").alias("body"))))
+    none = F.array().cast("array<struct<unit:int,body:string>>")
+    out = files.select("rid", F.explode(F.concat(lines, blocks, F.coalesce(whole, none))).alias("u"))
+    return out.select("rid", "u.unit", _words(F.col("u.body")).alias("words")).where(F.size("words") > 0)
+
+
+def template_weights(body: DataFrame, templates: list[tuple[str, str]]) -> tuple[DataFrame, int]:
+    """((template, word, tw, idf, tnorm), number of units) with document frequencies over the units ``body``."""
+    spark = body.sparkSession
     given = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(templates)], "template int, body string")
-    base = _counts(given, ["template"], "body")
-    vocab = written(base, "template-words")
-    total = tf.select("rid", "unit").distinct().count()
+    vocab = given.select("template", F.explode(_words(F.col("body"))).alias("word")).groupBy("template", "word").agg(
+        F.count("*").alias("tf"))
+    vocab = written(vocab, "template-words")
     known = vocab.select("word").distinct()
-    small = vocab.count() <= SMALL
-    if small:
-        df = tf.join(F.broadcast(known), "word").groupBy("word").agg(F.count("*").alias("df"))
-        idf = known.join(df, "word", "left")
-    else:
-        idf = known.join(tf.groupBy("word").agg(F.count("*").alias("df")), "word", "left")
-    rare = F.log(F.lit(1.0 + total))
-    idf = idf.select("word", F.log(1 + F.lit(total) / F.coalesce("df", F.lit(1))).alias("idf"))
-    weights = vocab.join(idf, "word").select("template", "word", (F.col("tf") * F.col("idf")).alias("tw"), "idf")
-    weights = weights.join(weights.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm")),
-                           "template")
-    weights = written(weights, "template-weights")
-    words = weights.select("word", "idf").distinct()
-    if small:
-        own = tf.join(F.broadcast(words), "word", "left")
-        pairs = tf.join(F.broadcast(weights), "word")
-    else:
-        salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-        salted = tf.withColumn("salt", F.pmod(F.xxhash64("rid", "unit"), F.lit(SALTS)))
-        own = salted.join(words.withColumn("salt", salt), ["word", "salt"], "left")
-        pairs = salted.join(weights.withColumn("salt", salt), ["word", "salt"])
-    w = F.col("tf") * F.coalesce(F.col("idf"), rare)
+    if known.count() > MAX_WORDS:
+        raise ValueError(f"the templates have more than {MAX_WORDS} distinct words")
+    # the empty word stands once in each unit: its frequency is the number of units
+    every = known.union(spark.createDataFrame([("",)], "word string"))
+    seen = body.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("words"))).alias("word"))
+    df = written(seen.join(F.broadcast(every), "word").groupBy("word").agg(F.count("*").alias("df")), "frequencies")
+    total = next((r.df for r in df.where("word = ''").collect()), 0)
+    weights = vocab.join(df, "word", "left").withColumn("idf", F.log(1 + F.lit(total) / F.coalesce("df", F.lit(1))))
+    weights = weights.select("template", "word", (F.col("tf") * F.col("idf")).alias("tw"), "idf")
+    norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
+    return written(weights.join(norms, "template"), "template-weights"), total
+
+
+def prefix_words(weights: DataFrame, least: float) -> list[str]:
+    """The words one of which a unit must hold to reach ``least`` with some template."""
+    lighter = Window.partitionBy("template").orderBy(F.col("tw"), F.col("word"))
+    rest = F.sqrt(F.sum(F.col("tw") * F.col("tw")).over(lighter))
+    heavy = weights.withColumn("rest", rest).where(F.col("rest") >= (least - ROUNDING) * F.col("tnorm"))
+    return sorted(r.word for r in heavy.select("word").distinct().collect())
+
+
+def cosines(body: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
+    """(rid, unit, template, cosine), all pairs of ``least`` or more among them."""
+    weights, total = template_weights(body, templates)
+    heavy = prefix_words(weights, least)
+    # one literal, whatever the number of words; words hold no space
+    some = F.arrays_overlap("words", F.split(F.lit(" ".join(heavy)), " "))
+    tf = body.where(some).select("rid", "unit", F.explode("words").alias("word")).groupBy("rid", "unit", "word").agg(
+        F.count("*").alias("tf"))
+    tf = written(tf, "unit-words")
+    own = tf.join(F.broadcast(weights.select("word", "idf").distinct()), "word", "left")
+    w = F.col("tf") * F.coalesce(F.col("idf"), F.log(F.lit(1.0 + total)))
     norm = own.groupBy("rid", "unit").agg(F.sqrt(F.sum(w * w)).alias("norm"))
-    dot = pairs.groupBy("rid", "unit", "template").agg(
+    dot = tf.join(F.broadcast(weights), "word").groupBy("rid", "unit", "template").agg(
         F.sum(F.col("tf") * F.col("idf") * F.col("tw")).alias("dot"), F.first("tnorm").alias("tnorm"))
     return dot.join(norm, ["rid", "unit"]).select("rid", "unit", "template", F.round(
         F.col("dot") / (F.col("norm") * F.col("tnorm")), 6).alias("cosine"))
@@ -125,18 +145,17 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     licence of its own, a null path is a file in the root; repeated rows get equal answers; an
     empty table gives an empty result; columns not in ``carry`` are left out.
     """
-    spark = files.sparkSession
     templates = TEMPLATES if templates is None else templates
     path = F.coalesce("path", F.lit(""))
     folder = _parent(path)
     name = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
     kept = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("kept")
-    src = files.select(F.monotonically_increasing_id().alias("rid"), kept, F.col("path"), folder.alias("dir"),
-                       name.rlike(LICENCE_FILE).alias("is_licence"), F.col("text"))
-    # the rows' numbers must not change between the two uses: one written pass holds all that later steps need
-    marks = written(src.select("rid", "kept", "path", "dir", "is_licence", F.when(
-        F.lower("text").rlike(ANCHORS) | F.col("is_licence"), F.col("text")).alias("text")), "files")
-    found = cosines(units(marks.where("text is not null")), templates, spark).where(F.col("cosine") >= least)
+    # a row's key is its content, so every pass may read the table anew; repeated rows share one
+    # answer, as a multiple of a vector has the same cosines
+    rid = F.md5(F.concat_ws("\x00", path, "text")).alias("rid")
+    marks = files.select(rid, kept, F.col("path"), folder.alias("dir"), name.rlike(LICENCE_FILE).alias("is_licence"),
+                         F.col("text"))
+    found = cosines(units(marks.where("text is not null")), templates, least).where(F.col("cosine") >= least)
     best = found.groupBy("rid").agg(F.max(F.struct("cosine", (-F.col("template")).alias("rank"))).alias("b"))
     ids = F.element_at(F.array(*[F.lit(t) for t, _ in templates]), (1 - F.col("b.rank")).cast("int"))
     best = written(best.select("rid", F.col("b.cosine").alias("cosine"), ids.alias("own")), "own-licences")

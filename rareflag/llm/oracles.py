@@ -58,14 +58,17 @@ g as (select *, regexp_replace(path, '/?[^/]*$', '') dir, path like '%/LICENSE'
 
 
 def _op2() -> str:
-    from rareflag.llm.licenses import ANCHORS, MIN_COSINE, TEMPLATES
+    from rareflag.llm.licenses import MIN_COSINE, TEMPLATES
     rows = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))
     return f"""
 with t(template, name, body) as (values {rows}), {_P2},
 u as (select doc_id, unit, body from (select doc_id, unnest(string_split(text, chr(10))) body,
         generate_subscripts(string_split(text, chr(10)), 1) unit from g where text is not null)
-      where regexp_matches(lower(body), '{ANCHORS}')
-      union all select doc_id, 0, text from g where is_licence and trim(text) <> ''),
+      union all select doc_id, -unit, trim(body, chr(10)) from (
+        select doc_id, unnest(b) body, generate_subscripts(b, 1) unit from (
+          select doc_id, string_split_regex(text, '\n(?:[ \t\r]*\n)+') b from g where text is not null))
+      where contains(trim(body, chr(10)), chr(10))
+      union all select doc_id, 0, text from g where is_licence and text is not null),
 uw as (select doc_id, unit, word, count(*) tf from (select doc_id, unit,
         unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) word from u) group by all),
 tw0 as (select template, word, count(*) tf from (select template, unnest(regexp_extract_all(lower(body), '[a-z0-9]+'))

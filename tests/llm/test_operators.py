@@ -406,6 +406,29 @@ def test_licences(spark):
     assert all(out[i][1] == "none" for i in (2, 3, 5, 6))
 
 
+def test_wrapped_licence_headers(spark):
+    mpl = ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was "
+           "not distributed with this\n * file, You can obtain one at the address below. */\n\nint main() {}")
+    bsd = ("# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that "
+           "the following conditions are met:\n\nprint(1)")
+    rows = [(0, "a/m.c", mpl), (1, "a/b.py", bsd), (2, "a/t.txt", "Some text.\n\nAvailable under CC BY-SA 4.0.")]
+    rows += [(i, f"b/{i}.txt", f"The work of the day {i} is in the form of a list.\nIt has no notice.") for i in range(3, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    out = {r.doc_id: r.license for r in licenses.scan(df, carry=("doc_id",)).collect()}
+    assert [out[i] for i in range(3)] == ["MPL-2.0", "BSD-3-Clause", "CC-BY-SA-4.0"]
+    assert all(out[i] is None for i in range(3, 9))
+
+
+def test_licence_prefix_filter_loses_nothing(spark):
+    docs = read(spark, "documents", SF0001)
+    files = licenses.as_files(docs).withColumn("rid", F.col("doc_id").cast("string")).withColumn(
+        "is_licence", F.col("path").endswith("/LICENSE")).where("text is not null")
+    body = licenses.units(files)
+    some, every = (licenses.cosines(body, licenses.TEMPLATES, x).where("cosine >= 0.5") for x in (0.5, 0.0))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(some) == rows(every) and some.count() > 0
+
+
 def test_tool_links(spark):
     args = '{"query": "x", "limit": 3}'
     calls = spark.createDataFrame([
