@@ -35,7 +35,7 @@ MAX_WORDS = 50_000
 ROUNDING = 1e-5
 #: what lies between two blocks
 BLANK = r"\n(?:[ \t\r]*\n)+"
-WORD = r"[a-z0-9]+"
+NO_WORD = "[^a-z0-9]+"
 LICENCE_FILE = r"^(license|licence|copying|unlicense|notice)(\.[a-z]+)?$"
 
 #: fixed values: short notices of common licences
@@ -62,19 +62,24 @@ TEMPLATES = [
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.lower(text), NO_WORD), "")
 
 
 def units(files: DataFrame) -> DataFrame:
     """(rid, unit, words) of the units with a word: lines from 1, blocks from -1 down, whole licence files 0."""
-    lines = F.transform(F.split("text", "\n"), lambda body, i: F.struct((i + 1).alias("unit"), body.alias("body")))
-    blocks = F.transform(F.split("text", BLANK), lambda body, i: F.struct(
-        (-1 - i).alias("unit"), F.trim(body, F.lit("\n")).alias("body")))
-    blocks = F.filter(blocks, lambda u: F.contains(u["body"], F.lit("\n")))
-    whole = F.when(F.col("is_licence"), F.array(F.struct(F.lit(0).alias("unit"), F.col("text").alias("body"))))
-    none = F.array().cast("array<struct<unit:int,body:string>>")
-    out = files.select("rid", F.explode(F.concat(lines, blocks, F.coalesce(whole, none))).alias("u"))
-    return out.select("rid", "u.unit", _words(F.col("u.body")).alias("words")).where(F.size("words") > 0)
+    def unit(at: Column, body: Column) -> Column:
+        return F.struct(at.cast("int").alias("unit"), _words(body).alias("words"))
+
+    lines = F.transform(F.split("text", "\n"), lambda body, i: unit(i + 1, body))
+    blocks = F.transform(F.split("text", BLANK), lambda body, i: F.struct((-1 - i).alias("at"), F.trim(
+        body, F.lit("\n")).alias("body")))
+    blocks = F.transform(F.filter(blocks, lambda u: F.contains(u["body"], F.lit("\n"))), lambda u: unit(
+        u["at"], u["body"]))
+    none = F.array().cast("array<struct<unit:int,words:array<string>>>")
+    whole = F.when(F.col("is_licence"), F.array(unit(F.lit(0), F.col("text")))).otherwise(none)
+    # words are made inside the exploded value, once a pass, whatever filters follow
+    out = files.select("rid", F.explode(F.concat(lines, blocks, whole)).alias("u"))
+    return out.select("rid", "u.unit", "u.words").where(F.size("words") > 0)
 
 
 def template_weights(body: DataFrame, templates: list[tuple[str, str]]) -> tuple[DataFrame, int]:
