@@ -202,6 +202,53 @@ def q_pca_explained(spark, sf_dir):
     return pca_explained(spark, O.observations(spark, sf_dir))
 
 
+def _axes(spark, sf_dir):
+    from rareflag.plans.importance import principal_axes
+    from rareflag.plans.queries import _clean
+    from rareflag.sources import obs as O
+    data = _clean(spark, sf_dir, "median").select(O.ID, *O.FEATURES)
+    return data, principal_axes(data, O.FEATURES)
+
+
+def q_pca_vectors(spark, sf_dir):
+    """Eigen-pairs in order: variance and loadings of every component."""
+    _, axes = _axes(spark, sf_dir)
+    return axes.table(spark).select("component", r6("variance").alias("variance"), "feature",
+                                    r6("loading").alias("loading"))
+
+
+def q_pca_reconstruction(spark, sf_dir):
+    """Correlations put together again from the eigen-pairs; SQL computes them from the rows."""
+    _, axes = _axes(spark, sf_dir)
+    t = axes.table(spark)
+    a, b = t.withColumnRenamed("feature", "col_a"), t.select(
+        "component", F.col("feature").alias("col_b"), F.col("loading").alias("other"))
+    out = a.join(b, "component").groupBy("col_a", "col_b").agg(
+        F.sum(F.col("variance") * F.col("loading") * F.col("other")).alias("corr"))
+    return out.select("col_a", "col_b", F.round(F.col("corr"), 5).alias("corr"))
+
+
+def q_pca_projection(spark, sf_dir):
+    """Every row on the first three components."""
+    from rareflag.sources import obs as O
+    data, axes = _axes(spark, sf_dir)
+    return axes.project(data, 3).select(O.ID, *[r6(f"pc{k}").alias(f"pc{k}") for k in (1, 2, 3)])
+
+
+def q_pca_projected_variances(spark, sf_dir):
+    """Sum of the projected variances and of their squares, the largest covariance of two components: SQL has
+    trace and squared norm of the correlation matrix, and 0 (A23)."""
+    from rareflag.operators.explore import covariance_pairs
+    from rareflag.sources import obs as O
+    data, axes = _axes(spark, sf_dir)
+    names = [f"pc{k + 1}" for k in range(len(O.FEATURES))]
+    cov = covariance_pairs(axes.project(data, len(names)), names)
+    own = F.col("col_a") == F.col("col_b")
+    return cov.agg(F.round(F.sum(F.when(own, F.col("cov"))), 5).alias("trace"),
+                   F.round(F.sum(F.when(own, F.col("cov") * F.col("cov"))), 5).alias("squares"),
+                   (F.max(F.when(~own, F.abs("cov"))) > 1e-6).alias("correlated"))
+
+
 # ------------------------------------------------------------- search, store, leaderboard
 
 #: all six families; each line of trees, rounds and neighbours needs one training a fold

@@ -164,6 +164,12 @@ select class, cast(bx as integer) as bx, cast("by" as integer) as "by", round(su
                                for a, b in cov_pairs)
     q["covariance_matrix"] = (f"{W}, {_cleaned('median')} select col_a, col_b, {sig_sql('cov')} as cov "
                               f"from ({cov_u})")
+    corr_all = " union all ".join(f"select '{a}' as col_a, '{b}' as col_b, {'1.0' if a == b else f'corr({a}, {b})'} as corr"
+                                  + ("" if a == b else " from cl") for a in FEAT for b in FEAT)
+    q["pca_reconstruction"] = (f"{W}, {_cleaned('median')} select col_a, col_b, round(corr, 5) as corr from ({corr_all})")
+    q["pca_projected_variances"] = (f"{W}, {_cleaned('median')} select round(sum(case when col_a = col_b then corr end), 5) "
+                                    f"as trace, round(sum(corr * corr), 5) as squares, false as correlated "
+                                    f"from ({corr_all})")
     rule = (f"rs as (select id, is_pos as label, round(coalesce(qty_sum, 0) / {Q.RULE_QTY_SCALE} - "
             f"coalesce(disc_avg, 0) * {Q.RULE_DISC_SCALE}, 3) as p1 from obs), "
             f"sc as (select *, cast(p1 > {Q.RULE_THRESHOLD} as integer) as prediction from rs)")
@@ -174,6 +180,7 @@ select class, cast(bx as integer) as bx, cast("by" as integer) as "by", round(su
     cm = f"cm as (select {cnt}, avg(abs(label - prediction)) mae, sqrt(avg(power(label - prediction, 2))) rmse, avg(cast(label = prediction as double)) accuracy from sc)"
     cells = ("cells as (select 0 as actual, 0 as predicted, tn as n from cm union all select 0, 1, fp from cm "
              "union all select 1, 0, fn from cm union all select 1, 1, tp from cm)")
+    q["stream_rule_tally"] = f"{W}, {rule} select cast(sum(prediction) as bigint) as flagged, count(*) as total from sc"
     q["confusion"] = f"{W}, {rule}, {cm}, {cells} select actual, predicted, n from cells"
     q["confusion_percent"] = (f"{W}, {rule}, {cm}, {cells} select actual, predicted, n, round(case when "
                               f"sum(n) over (partition by actual) = 0 then 0.0 else 100.0 * n / "

@@ -179,12 +179,18 @@ def q_covariance_matrix(spark, sf_dir):
 
 # ------------------------------------------------------------- metrics on a closed-form score
 
+def rule_p1():
+    return F.round(F.coalesce(F.col("qty_sum"), F.lit(0.0)) / RULE_QTY_SCALE
+                   - F.coalesce(F.col("disc_avg"), F.lit(0.0)) * RULE_DISC_SCALE, 3)
+
+
+def rule_prediction():
+    return (rule_p1() > RULE_THRESHOLD).cast("int")
+
+
 def rule_scored(spark, sf_dir) -> DataFrame:
-    d = obs(spark, sf_dir)
-    p = F.round(F.coalesce(F.col("qty_sum"), F.lit(0.0)) / RULE_QTY_SCALE
-                - F.coalesce(F.col("disc_avg"), F.lit(0.0)) * RULE_DISC_SCALE, 3)
-    return d.select(O.ID, F.col(O.LABEL).alias("label"), p.alias("p1"),
-                    (p > RULE_THRESHOLD).cast("int").alias("prediction"))
+    return obs(spark, sf_dir).select(O.ID, F.col(O.LABEL).alias("label"), rule_p1().alias("p1"),
+                                     rule_prediction().alias("prediction"))
 
 
 def q_confusion(spark, sf_dir):

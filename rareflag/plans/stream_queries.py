@@ -11,17 +11,26 @@ from rareflag.functions.columns import r6
 from rareflag.plans.score import fit, prepared_obs
 from rareflag.session import scratch_path
 from rareflag.sources import obs as O
-from rareflag.streaming.score import read_stream, stream_score, stream_score_batches, stream_tally
+from rareflag.streaming.score import read_stream, read_tally, stream_score, stream_score_batches, stream_tally
 
-STREAM_FILES = 4
+#: micro-batches of a source
+BATCHES = 4
+
+
+def _files(spark) -> int:
+    return max(BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _read(spark, src, schema):
+    return read_stream(spark, src, schema, -(-_files(spark) // BATCHES))
 
 
 def _stream_source(spark, sf_dir):
     data = prepared_obs(spark, sf_dir, O.LABEL)
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
     src = f"{base}/source"
-    # hash-partitioned into a fixed number of files: several micro-batches
-    data.repartition(STREAM_FILES, "id").write.mode("overwrite").parquet(src)
+    # a file for each shuffle partition of the session, so tasks and files grow with the cluster's setting
+    data.repartition(_files(spark), "id").write.mode("overwrite").parquet(src)
     schema = spark.read.parquet(src).schema
     return data, base, src, schema
 
@@ -37,7 +46,7 @@ def q_stream_clean_frozen(spark, sf_dir):
     from rareflag.plans.score import obs_preprocessing
     data, base, src, schema = _stream_source(spark, sf_dir)
     cleaner = Pipeline(stages=obs_preprocessing("frozen")[:1]).fit(data.where(F.col("split") == "train"))
-    q = stream_score(cleaner, read_stream(spark, src, schema), f"{base}/sink", f"{base}/ckpt",
+    q = stream_score(cleaner, _read(spark, src, schema), f"{base}/sink", f"{base}/ckpt",
                      [O.ID] + O.VARIABLES + [f"{c}_isnan" for c in O.VARIABLES])
     q.awaitTermination()
     out = spark.read.parquet(f"{base}/sink")
@@ -53,7 +62,7 @@ def q_stream_score_frozen(spark, sf_dir):
     """Forest scoring of a parquet stream, frozen statistics."""
     data, base, src, schema = _stream_source(spark, sf_dir)
     model = _frozen_model(data, _forest())
-    q = stream_score(model, read_stream(spark, src, schema), f"{base}/sink", f"{base}/ckpt",
+    q = stream_score(model, _read(spark, src, schema), f"{base}/sink", f"{base}/ckpt",
                      [O.ID, "prediction", "p1"])
     q.awaitTermination()
     return spark.read.parquet(f"{base}/sink").select(O.ID, F.col("prediction").cast("int").alias("prediction"),
@@ -66,7 +75,7 @@ def q_stream_score_batch(spark, sf_dir):
     from rareflag.plans.score import fit as fit_model
     data, base, src, schema = _stream_source(spark, sf_dir)
     model = fit_model(data.where(F.col("split") == "train"), _forest(), mode="batch")
-    q = stream_score_batches(model, read_stream(spark, src, schema), f"{base}/sink", f"{base}/ckpt",
+    q = stream_score_batches(model, _read(spark, src, schema), f"{base}/sink", f"{base}/ckpt",
                              [O.ID, "prediction", "p1"])
     q.awaitTermination()
     return spark.read.parquet(f"{base}/sink").select(O.ID, F.col("prediction").cast("int").alias("prediction"),
@@ -77,7 +86,14 @@ def q_stream_tally(spark, sf_dir):
     """Running tally of flagged / total over the stream."""
     data, base, src, schema = _stream_source(spark, sf_dir)
     model = _frozen_model(data, _forest())
-    name = f"tally_{uuid.uuid4().hex[:8]}"
-    q = stream_tally(model, read_stream(spark, src, schema), name, f"{base}/ckpt")
-    q.awaitTermination()
-    return spark.sql(f"select flagged, total from {name}")
+    stream_tally(model.transform, _read(spark, src, schema), f"{base}/tally", f"{base}/ckpt").awaitTermination()
+    return read_tally(spark, f"{base}/tally")
+
+
+def q_stream_rule_tally(spark, sf_dir):
+    """The tally with the closed-form score, so that SQL has the same totals."""
+    from rareflag.plans.queries import rule_prediction
+    _, base, src, schema = _stream_source(spark, sf_dir)
+    stream_tally(lambda d: d.withColumn("prediction", rule_prediction()), _read(spark, src, schema), f"{base}/tally",
+                 f"{base}/ckpt").awaitTermination()
+    return read_tally(spark, f"{base}/tally")
