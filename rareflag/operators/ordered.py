@@ -2,10 +2,12 @@
 
 ``row_number() over (order by k)`` and ``sum(x) over (order by k)`` without a
 partition clause move every row into one task. Here each row gets a bucket
-that is a pure function of its ordering value: a histogram pass (fine
-equal-width bins over [min, max], order-independent, partially aggregated)
-is merged on the driver into balanced buckets (at most ``fine`` numbers
-cross to the driver). Ranks / running sums are computed per bucket in
+that is a pure function of its ordering value, which may have any type with
+an order (strings too): the distinct values whose hash falls into one of M
+residues are a uniform sample of them, about ``SAMPLE`` a bucket reach the
+driver, and evenly spaced ones of them are the bucket bounds. Equal-width
+bins would put nearly all rows into one bucket where one value lies far off.
+Ranks / running sums are computed per bucket in
 parallel, a tiny table (one row per group and bucket) carries the totals,
 and its running offsets are joined back (no broadcast hint; AQE broadcasts
 from measured size).
@@ -31,46 +33,50 @@ def _target_buckets(df: DataFrame, buckets: int | None) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
-def bucket_column(df: DataFrame, value: Column, buckets: int | None = None, fine: int | None = None) -> Column:
+#: sampled distinct values for each bucket; a bucket's share then strays by about 1 / sqrt(SAMPLE)
+SAMPLE = 64
+
+
+def _search(v: Column, cuts: list[Column], first: int) -> Column:
+    """Number of ``cuts`` (ascending) below ``v``, plus ``first``: a search tree, so log2 comparisons a row."""
+    if not cuts:
+        return F.lit(first)
+    mid = len(cuts) // 2
+    return F.when(v <= cuts[mid], _search(v, cuts[:mid], first)).otherwise(
+        _search(v, cuts[mid + 1:], first + mid + 1))
+
+
+def bucket_column(df: DataFrame, value: Column, buckets: int | None = None) -> Column:
     """Monotone bucket id of ``value`` (non-decreasing in value), balanced.
 
-    Two small jobs: min/max, then counts per fine bin.
+    Two small jobs: the approximate number of distinct values, then the sample. Where every distinct
+    value is in the sample their row counts are balanced, else their number; rows of one value always
+    share a bucket. A null is in the first bucket, a NaN in the last.
     """
     n_b = _target_buckets(df, buckets)
-    fine = int(fine or max(4096, 16 * n_b))
-    v = value.cast("double")
-    mm = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
-    if mm["lo"] is None or mm["lo"] == mm["hi"] or n_b == 1:
-        return F.lit(0)
-    lo, hi = float(mm["lo"]), float(mm["hi"])
-    fb = F.least(F.greatest(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * fine), F.lit(0)), F.lit(fine - 1))
-    counts = sorted((int(r[0]), int(r[1])) for r in
-                    df.groupBy(fb.alias("f")).agg(F.count(F.lit(1))).where(F.col("f").isNotNull()).collect())
-    total = sum(c for _, c in counts)
-    per = total / n_b
-    # cut after a fine bin when the running count passes the next share
-    cuts, run, nxt = [], 0, per
-    for f, c in counts:
-        run += c
-        if run >= nxt and len(cuts) < n_b - 1:
-            cuts.append(f)
-            while nxt <= run:
-                nxt += per
-    if not cuts:
+    if n_b == 1:
         return F.lit(0)
-    expr = None
-    for i, f in enumerate(cuts):
-        cond = fb <= F.lit(f)
-        expr = F.when(cond, i) if expr is None else expr.when(cond, i)
-    return F.coalesce(expr.otherwise(len(cuts)), F.lit(0))
+    vals = df.select(value.alias("v")).where("v is not null")
+    every = max(1, vals.agg(F.approx_count_distinct("v")).first()[0] // (SAMPLE * n_b))
+    rows = vals.where(F.pmod(F.xxhash64("v"), F.lit(every)) == 0).groupBy("v").agg(
+        F.count(F.lit(1)).alias("n")).orderBy("v").collect()
+    weights = [r["n"] if every == 1 else 1 for r in rows]
+    per = sum(weights) / n_b
+    cuts, run, share = [], 0, per
+    for r, w in zip(rows[:-1], weights):  # nothing lies above the last value's bucket
+        run += w
+        if run >= share:
+            cuts.append(F.lit(r["v"]).cast(vals.schema["v"].dataType))
+            share = per * (run // per + 1)
+    return F.when(value.isNull(), 0).otherwise(_search(value, cuts, 0))
 
 
 def rank_within(df: DataFrame, order: Sequence[Column], value: Column, keys: Sequence[str] = (),
                 out: str = "rank", buckets: int | None = None) -> DataFrame:
     """0-based rank of each row within its ``keys`` group by ``order``.
 
-    ``value`` is a numeric column non-decreasing along ``order`` (it picks the
-    bucket); ``order`` must make rows unique (end it with the id).
+    ``value`` is a column of any ordered type, non-decreasing along ``order`` (it
+    picks the bucket); ``order`` must make rows unique (end it with the id).
     """
     keys = list(keys)
     d = df.withColumn(BUCKET, bucket_column(df, value, buckets))
