@@ -42,6 +42,63 @@ def test_adaboost_learns_a_threshold(spark, tmp_path):
     assert a == b
 
 
+def boosted(x, y, rounds):
+    """Stumps over all midpoints, weights of all rounds, by the definition."""
+    import math
+
+    import numpy as np
+    w, out = np.ones(len(y)) / len(y), []
+    for _ in range(rounds):
+        best = None
+        for f in range(x.shape[1]):
+            v = np.unique(x[:, f])
+            for t in (v[:-1] + v[1:]) / 2:
+                pure, err, labels = 0.0, 0.0, []
+                for side in (x[:, f] <= t, x[:, f] > t):
+                    c = np.array([w[side & (y == 0)].sum(), w[side & (y == 1)].sum()])
+                    pure += (c ** 2).sum() / c.sum()
+                    labels.append(int(c[1] > c[0]))
+                    err += c.min()
+                if best is None or pure > best[0] + 1e-9:
+                    best = (pure, f, t, labels, err / w.sum())
+        _, f, t, labels, err = best
+        a = math.log((1 - err) / err)
+        miss = np.where(x[:, f] <= t, *labels) != y
+        w = w * np.exp(a * miss)
+        w /= w.sum()
+        out.append((f, t, *labels, a))
+    return out
+
+
+def test_adaboost_rounds_match_brute_force(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, (300, 3)).astype(float)
+    y = ((x[:, 0] + x[:, 1] > 11) ^ (rng.random(300) < 0.1)).astype(int)
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(
+        spark.createDataFrame([(*map(float, r), int(v)) for r, v in zip(x, y)], "a double, b double, c double, label int"))
+    m = Pipeline(stages=adaboost_stages(n_estimators=23)).fit(df).stages[0]  # writes its weights twice
+    want = boosted(x, y, 23)
+    assert [(f, t, int(a), int(b)) for f, t, a, b in m.stump_list()] == [w[:4] for w in want]
+    alphas = [w[4] for w in want]
+    assert m.getOrDefault("alphas") == pytest.approx(alphas, rel=1e-6)
+    d = sum(a * (2 * np.where(x[:, f] <= t, lo, hi) - 1) for f, t, lo, hi, a in want) / sum(alphas)
+    got = sorted((r.a, r.b, r.c, r.label, r.score) for r in m.transform(df).collect())
+    assert [g[4] for g in got] == pytest.approx([v[4] for v in sorted(zip(*x.T, y, d))], abs=1e-6)
+
+
+def test_adaboost_odd_tables(spark):
+    def fit(rows):
+        df = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.createDataFrame(rows, "x double, label int"))
+        return Pipeline(stages=adaboost_stages(n_estimators=4)).fit(df).stages[0], df
+    with pytest.raises(ValueError, match="no row"):
+        fit([])
+    m, df = fit([(1.0, 1), (1.0, 1), (1.0, 0)])  # a constant feature: the majority, then no better than chance
+    assert {r.prediction for r in m.transform(df).collect()} == {1.0}
+    m, df = fit([(1.0, 1), (2.0, 1)])  # one class
+    assert {r.prediction for r in m.transform(df).collect()} == {1.0}
+
+
 def test_min_samples_split_prunes(spark):
     from pyspark.ml.regression import DecisionTreeRegressor
     from rareflag.operators.models.prune import prune_min_samples_split
