@@ -42,7 +42,15 @@ def _pruned(est, min_samples_split):
 
 def tree_stages(criterion: str = "gini", maxDepth: int = 5, minInstancesPerNode: int = 1,
                 seed: int = 42, weightCol: str | None = None, labelCol: str = "label",
-                featuresCol: str = "features", maxBins: int = MAX_BINS, minSamplesSplit: int = 2):
+                featuresCol: str = "features", maxBins: int = MAX_BINS, minSamplesSplit: int = 2,
+                splitter: str = "best"):
+    if splitter not in ("best", "random"):
+        raise ValueError(f"unknown splitter {splitter!r}")
+    if splitter == "random":
+        from rareflag.operators.models.random_tree import RandomSplitTree
+        return [RandomSplitTree(criterion=criterion, maxDepth=int(maxDepth), minInstancesPerNode=int(minInstancesPerNode),
+                                minSamplesSplit=int(minSamplesSplit or 2), seed=int(seed), weightCol=weightCol,
+                                labelCol=labelCol, featuresCol=featuresCol), ScoreToProbability(inputCol="score")]
     if criterion == "gini":
         dt = DecisionTreeRegressor(featuresCol=featuresCol, labelCol=labelCol, predictionCol="score",
                                    maxDepth=int(maxDepth), minInstancesPerNode=int(minInstancesPerNode),

@@ -111,3 +111,74 @@ def test_min_samples_split_prunes(spark):
     # nodes with >= 150 rows: only the root (200) may split; its children hold 100 each
     assert p.numNodes == 3
     assert sorted({round(r.prediction, 6) for r in p.transform(df).collect()}) == [0.6, 0.9]
+
+
+def grown(x, y, depth, seed, min_leaf=1):
+    """Leaves of a random-split tree by the definition: {heap number: (feature, threshold, n, p)}."""
+    import hashlib
+
+    import numpy as np
+    out = {}
+
+    def gini(v):
+        return len(v) * 2 * v.mean() * (1 - v.mean()) if len(v) else 0.0
+
+    def visit(node, rows, level):
+        v = y[rows]
+        best = None
+        if level < depth and 0 < v.sum() < len(v):
+            for f in range(x.shape[1]):
+                lo, hi = x[rows, f].min(), x[rows, f].max()
+                if lo == hi:
+                    continue
+                u = int(hashlib.md5(f"{seed}:{node}:{f}".encode()).hexdigest()[:8], 16) / 2 ** 32
+                t = lo + u * (hi - lo)
+                left = x[rows, f] <= t
+                if min(left.sum(), (~left).sum()) < min_leaf:
+                    continue
+                gain = round((gini(v) - gini(v[left]) - gini(v[~left])) / len(v), 12)
+                if best is None or gain > best[0]:
+                    best = (gain, f, t, left)
+        out[node] = (best[1:3] if best else (-1, 0.0)) + (len(v), v.mean())
+        if best:
+            visit(2 * node, rows[best[3]], level + 1)
+            visit(2 * node + 1, rows[~best[3]], level + 1)
+
+    visit(1, np.arange(len(y)), 0)
+    return out
+
+
+@pytest.mark.parametrize("seed,min_leaf", [(42, 1), (7, 5)])
+def test_random_splitter_matches_brute_force(spark, tmp_path, seed, min_leaf):
+    import numpy as np
+    rng = np.random.default_rng(9)
+    x = np.column_stack([rng.random(400), rng.integers(0, 5, 400), np.ones(400)])
+    y = ((x[:, 0] > 0.6) ^ (rng.random(400) < 0.2)).astype(int)
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(
+        spark.createDataFrame([(*map(float, r), int(v)) for r, v in zip(x, y)], "a double, b double, c double, label int")
+        .repartition(3))
+    m = Pipeline(stages=tree_stages(splitter="random", maxDepth=4, seed=seed, minInstancesPerNode=min_leaf)).fit(df)
+    t = m.stages[0]
+    want = grown(x, y, 4, seed, min_leaf)
+    get = t.getOrDefault
+    assert get("feature") == [want[n][0] for n in sorted(want)]
+    assert get("threshold") == pytest.approx([want[n][1] for n in sorted(want)])
+    assert get("rows") == [want[n][2] for n in sorted(want)]
+    assert get("value") == pytest.approx([want[n][3] for n in sorted(want)])
+    out = m.transform(df)
+    leaves = out.groupBy("leaf").agg(F.count("*").alias("n"), F.avg("label").alias("p"), F.max("p1").alias("p1")).collect()
+    assert all(r.n == get("rows")[r.leaf] and r.p == pytest.approx(r.p1) for r in leaves) and len(leaves) > 4
+    m.write().overwrite().save(str(tmp_path / "t"))
+    assert PipelineModel.load(str(tmp_path / "t")).transform(df).exceptAll(out).count() == 0
+
+
+def test_random_splitter_odd_tables(spark):
+    def fit(rows, **kw):
+        df = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.createDataFrame(rows, "x double, label int"))
+        return Pipeline(stages=tree_stages(splitter="random", **kw)).fit(df).transform(df).select("p1").collect()
+    with pytest.raises(ValueError, match="no row"):
+        fit([])
+    assert {r.p1 for r in fit([(1.0, 1), (1.0, 0)])} == {0.5}  # constant feature: no split
+    assert {r.p1 for r in fit([(1.0, 1), (2.0, 0)], criterion="entropy")} == {0.0, 1.0}
+    with pytest.raises(ValueError, match="splitter"):
+        tree_stages(splitter="worst")
