@@ -57,7 +57,7 @@ def main():
     n_train = train.count()
     families = {
         "rf": forest_stages(**MQ.FOREST),
-        "ada": adaboost_stages(n_estimators=20, learning_rate=1.0),
+        "ada": adaboost_stages(n_estimators=200, learning_rate=1.0),
         "svc": ksvm_stages(C=10.0, kernel="rbf", n_train=n_train),
         "knn": knn_stages(n_neighbors=5, weights="distance", p=2),
     }

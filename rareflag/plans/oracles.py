@@ -40,6 +40,28 @@ def _round_cols(cols, doubles) -> str:
     return ", ".join(_r(c) + f" as {c}" if c in doubles else c for c in cols)
 
 
+def tree_random_root():
+    imp = "case when {w} > 0 then {w} - ({p} * {p} + ({w} - {p}) * ({w} - {p})) / {w} else 0.0 end"
+    whole, left = imp.format(w="tn", p="tp"), imp.format(w="n", p="p")
+    right = imp.format(w="(tn - n)", p="(tp - p)")
+    u = hash_unit_sql(42, "1", "f")
+    return f"""with x as (select vec_id, cast(label = 0 as double) y, unnest(range(len(embedding))) f,
+  cast(unnest(embedding) as double) v from embeddings),
+r as (select f, min(v) lo, max(v) hi from x group by f),
+d as (select f, lo + {u} * (hi - lo) t from r where lo < hi),
+c as (select x.f, t, cast(count(*) as double) n, sum(y) p from x join d on x.f = d.f and v <= t group by 1, 2),
+w as (select cast(count(*) as double) tn, sum(cast(label = 0 as double)) tp from embeddings),
+b as (select *, p / n p_left, (tp - p) / (tn - n) p_right from c, w where n < tn
+  order by round(({whole} - {left} - {right}) / tn, 12) desc, f limit 1)
+select vec_id, b.f as feature, round(t, 6) as threshold, v <= t as went_left,
+  round(case when v <= t then p_left else p_right end, 6) as p1 from x join b on x.f = b.f"""
+
+
+def kernel_map_error():
+    return (f"{W} select kernel, (select count(*) from obs) as n, false as overstated, true as within "
+            "from (values ('rbf'), ('poly')) t(kernel)")
+
+
 def null_inventory():
     cols = [c for c in ["total_price", "qty_sum", "qty_std", "disc_avg", "tax_avg", "price_max", "eflag",
                         "new_src", "dmag_cat", "case_name", "is_pos", "is_rare"]]
@@ -95,6 +117,8 @@ def _build() -> dict[str, str]:
     q["profile_columns"] = profile_columns()
     q["null_indicators"] = null_indicators()
     q["median_impute"] = median_impute()
+    q["tree_random_root"] = tree_random_root()
+    q["kernel_map_error"] = kernel_map_error()
     q["mean_impute"] = mean_impute()
     q["sentinel_fill"] = f"{W} select id, coalesce(eflag, -1.0) as eflag from obs"
     q["drop_null_rows"] = (f"{W} select id, {_round_cols(FEAT, FEAT)} from obs where "

@@ -182,3 +182,28 @@ def test_random_splitter_odd_tables(spark):
     assert {r.p1 for r in fit([(1.0, 1), (2.0, 0)], criterion="entropy")} == {0.0, 1.0}
     with pytest.raises(ValueError, match="splitter"):
         tree_stages(splitter="worst")
+
+
+@pytest.mark.parametrize("kind", ["rbf", "poly", "sigmoid"])
+def test_kernel_map_matches_brute_force(spark, kind):
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+    from rareflag.operators.models.ksvm import Nystroem, kernel
+    x = np.random.default_rng(3).normal(size=(60, 4))
+    df = VectorAssembler(inputCols=list("abcd"), outputCol="features").transform(
+        spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double, d double"))
+    m = Nystroem(kernel=kind, landmarks=60, degree=2, coef0=0.5).fit(df.repartition(3))
+    out = m.transform(df).select("id", vector_to_array("kfeatures").alias("z")).orderBy("id").collect()
+    z = np.array([r.z for r in out])
+    k = kernel(x, x, kind, m.getOrDefault("gammaValue"), 2, 0.5)
+    if kind == "sigmoid":  # the part of the kernel with eigenvalues above 0
+        w, u = np.linalg.eigh(k)
+        w = np.where(w > 0, w, 0)
+        assert np.abs(z @ z.T - (u * w) @ u.T).max() < 1e-5
+        with pytest.raises(ValueError, match="residual"):
+            m.residual(df)
+        return
+    assert np.abs(z @ z.T - k).max() < 1e-5  # all rows are landmarks: the kernel itself
+    assert max(abs(r.residual) for r in m.residual(df).collect()) < 1e-5
+    few = Nystroem(kernel=kind, landmarks=4, degree=2, coef0=0.5).fit(df).residual(df).collect()
+    assert min(r.residual for r in few) > -1e-9 and max(r.residual for r in few) > 0.01
