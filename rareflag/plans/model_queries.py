@@ -313,8 +313,8 @@ FULL_GRID = {
     "svc": {"C": [10.0], "kernel": ["rbf"], "degree": [2, 3]},
     "knn": {"n_neighbors": [3, 5, 7], "weights": ["uniform", "distance"], "p": [1], "algorithm": ["ball_tree", "kd_tree"]},
     "lr": {"C": [1.0, 10.0], "penalty": ["l2"], "solver": ["lbfgs", "liblinear"]},
-    "dt": {"criterion": ["gini", "entropy"], "max_depth": [2, 4], "min_samples_split": [2, 10], "min_samples_leaf": [1],
-           "splitter": ["best", "random"]},
+    "dt": [{"criterion": ["gini", "entropy"], "max_depth": [2, 4], "min_samples_split": [2, 10], "min_samples_leaf": [1]},
+           {"criterion": ["gini"], "max_depth": [4], "splitter": ["random"]}],
     "ada": {"n_estimators": [5, 10], "learning_rate": [1.0]},
 }
 
