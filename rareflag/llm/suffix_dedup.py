@@ -47,6 +47,8 @@ HOT = 2000
 PIECE = 64
 #: bytes of a suffix array's text, up to one anchor's pieces more
 ARRAY = 1 << 20
+#: bytes of text whose anchors are found at once: their arrays stay in a core's cache
+CHUNK = 1 << 17
 MAX_BUCKETS = 50_000
 U64 = np.uint64
 
@@ -180,7 +182,7 @@ def _sql(schema: pa.Schema) -> str:
 def _count_rows(rows: pa.Table, span: int, shards: int) -> pa.Table:
     """Pass 1 over a pack: its different anchors and texts, for each shard."""
     pack, name = _pack(rows), rows.column("pack")[0].as_py()
-    found = [_place(anchors(t, span)[0].hash, shards) for _, _, t in tb.chunks(pack.texts, 1 << 20)]
+    found = [_place(anchors(t, span)[0].hash, shards) for _, _, t in tb.chunks(pack.texts, CHUNK)]
     place, count = np.unique(np.concatenate(found), return_counts=True)
     count = np.minimum(count, 65535).astype("<u2")
     out = {s: [place[r].astype("<u4").tobytes(), _packed(count[r]), b"", b""]
@@ -241,16 +243,16 @@ def _piece_rows(rows: pa.Table, flag_rows: pa.Table, span: int, shards: int) ->
     own = pack.doc == least
     own[1:] &= np.array([a != b for a, b in zip(pack.digest[1:], pack.digest[:-1], strict=True)], bool) | (
         pack.doc[1:] != pack.doc[:-1])
-    parts = list(tb.chunks(pack.texts, 1 << 20))
-    known = np.unique(np.concatenate([_place(anchors(t, span)[0].hash, shards) for _, _, t in parts]))
+    parts = [(i, *anchors(t, span)) for i, _, t in tb.chunks(pack.texts, CHUNK)]
+    known = np.unique(np.concatenate([_place(a.hash, shards) for _, a, _ in parts]))
     key, chash, text, start, count = [], [], [], [], []
-    for i, _, t in parts:
-        a, gram = anchors(t, span)
+    for i, a, gram in parts:
         f = flag[np.searchsorted(known, _place(a.hash, shards))] * own[i + a.text]
         cold, hot = np.flatnonzero(f == 1), np.flatnonzero(f == 2)
         at = np.concatenate((a.start[cold], _ragged(a.start[hot], a.count[hot])))
         n = np.concatenate((a.count[cold], np.ones(len(at) - len(cold), np.int64)))
-        h = gram[at] * U64(0x9E3779B97F4A7C15)
+        # with the number of windows: the grams of a periodic text are alike in pieces of any length
+        h = (gram[at] + n.astype(U64)) * U64(0x9E3779B97F4A7C15)
         for step in range(k, PIECE + span, k):  # covers the piece; its last k bytes end it
             h = tb.mix(h * U64(0xD6E8FEB86659FD93) + gram[at + np.minimum(step, n + span - 1 - k)])
         key += [_place(np.concatenate((a.hash[cold], h[len(cold):])), shards)]

@@ -96,6 +96,16 @@ def test_spans_of_odd_rows(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).collect() == []
 
 
+def test_spans_of_periodic_texts(spark):
+    rng = random.Random(8)
+    other = ["".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(30)]
+    texts = [other[i] + rng.choice(["-", "ab", "=~*"]) * rng.randrange(40, 250) + (other[i - 1][:9] if i % 3 else "")
+             for i in range(30)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for kw in ({}, {"hot": 3}, {"pack": 2000, "shard": 300}):
+        assert spark_spans(df, **kw) == brute_spans(as_bytes(df))
+
+
 # ---- Merkle manifest
 
 
