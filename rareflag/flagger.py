@@ -84,10 +84,10 @@ class RareFlagger:
 
     def predict(self, df: DataFrame, prob: bool = False) -> DataFrame:
         """id and prediction of every row that can be scored, and p0, p1 with ``prob`` (null for a family without)."""
-        c = self.config
+        c, model = self.config, self._trained()
         # the label, where there is one, is not an input
         rows = df.select(c.id_col, *c.variables).withColumn("label", F.lit(None).cast("double"))
-        out = self._trained().transform(rows)
+        out = model.transform(rows)
         for p in ("p0", "p1"):
             if p not in out.columns:
                 out = out.withColumn(p, F.lit(None).cast("double"))
