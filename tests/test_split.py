@@ -2,7 +2,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from rareflag.operators.ordered import rank_within, running_sums
+from rareflag.operators.ordered import cut_values, rank_within, running_sums
 from rareflag.operators.split import fold_bounds, stratified_folds, train_test_split
 
 
@@ -69,3 +69,37 @@ def test_rank_and_running_sums_across_buckets(spark):
                      ["one"], buckets=5)
     by = sorted(((x.v, x.cum_one) for x in s.collect()), reverse=True)
     assert [c for _, c in by] == list(range(1, 2001))
+
+
+def test_split_and_folds_move_no_rows(spark):
+    # the ranking of all rows dealt them over a hash of few buckets, some tasks got several times the others' share
+    df = spark.range(0, 4000, 1, 10).select("id", (F.col("id") % 9 == 0).cast("int").alias("label"))
+    for out in (train_test_split(df, 0.2, seed=5), stratified_folds(df, k=3)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan
+        sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 10 and max(sizes) == 400
+
+
+def test_cut_values_of_groups_nulls_and_repeats(spark):
+    import random
+    random.seed(2)
+    rows = [(random.randint(0, 2), random.choice([None, *range(60), *range(1000, 1900)])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g int, v long").persist()
+    for limit in (50, 100_000):
+        ranks = {g: [0, 17, 500, sum(r[0] == g for r in rows) - 1] for g in (0, 2)}
+        got = cut_values(df, F.col("v"), ranks, F.col("g"), limit)
+        for g, rs in ranks.items():
+            v = sorted((r[1] for r in rows if r[0] == g), key=lambda x: (x is not None, x or 0))
+            assert got[g] == {r: (v[r], v.index(v[r]), v.count(v[r])) for r in rs}
+
+
+def test_split_and_folds_of_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(i // 50 if i < 950 else None, i, i % 2) for i in range(1000)], "id long, n long, label int")
+    out = train_test_split(df, 0.33).groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in out} == {"test": 330, "train": 670}
+    folds = stratified_folds(df, k=3)
+    sizes = Counter({(r.label, r.fold): r["count"] for r in folds.groupBy("label", "fold").count().collect()})
+    assert sorted(sizes.values()) == [166, 166, 167, 167, 167, 167]
+    assert {r.fold for r in folds.where("id is null").select("fold").collect()} == {0}
+    assert train_test_split(df.limit(0), 0.2).count() == 0
