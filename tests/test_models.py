@@ -207,3 +207,30 @@ def test_kernel_map_matches_brute_force(spark, kind):
     assert max(abs(r.residual) for r in m.residual(df).collect()) < 1e-5
     few = Nystroem(kernel=kind, landmarks=4, degree=2, coef0=0.5).fit(df).residual(df).collect()
     assert min(r.residual for r in few) > -1e-9 and max(r.residual for r in few) > 0.01
+
+
+def test_adaboost_keeps_blocks_and_no_weights(spark, monkeypatch):
+    # a weight column was kept beside the rows and written every ten rounds; a round read them row by row
+    import numpy as np
+    from pyspark.sql import DataFrame
+
+    from rareflag.operators.models import adaboost, bins
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda *a, **k: pytest.fail("a round wrote its weights"))
+    monkeypatch.setattr(bins, "SLICE", 7)
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 300, (900, 2)).astype(float), rng.integers(0, 2, 900)
+    df = spark.createDataFrame([([float(a) for a in r], int(v)) for r, v in zip(x, y)], "x array<double>, y int").repartition(3)
+    cuts = [np.arange(299) + 0.5] * 2
+    packed = bins.blocks(df, "x", "y", cuts)
+    assert packed.agg(F.sum("n")).first()[0] == 900 and packed.count() <= 3
+    tables = {}
+    for stump, alpha in (((0, 100, 1, 0), 0.7), ((1, 40, 0, 1), 0.3), ((-1, 0, 1, 1), 0.2)):
+        adaboost.add_stump(tables, stump, alpha, 300)
+    w = np.exp(0.7 * ((x[:, 0] <= 100) != y) + 0.3 * ((x[:, 1] > 40) != y) + 0.2 * (y != 1) - 0.1)
+    want = np.zeros((2, 300, 2))
+    for f in range(2):
+        np.add.at(want, (f, x[:, f].astype(int), y), w)
+    np.testing.assert_allclose(bins.weighted_histogram(packed, tables, 2, 300, -0.1), want, rtol=1e-12)
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+        spark.createDataFrame([(*map(float, r), int(v)) for r, v in zip(x, y)], "a double, b double, label int"))
+    assert len(Pipeline(stages=adaboost_stages(n_estimators=12)).fit(rows).stages[0].stump_list()) == 12
