@@ -234,3 +234,22 @@ def test_adaboost_keeps_blocks_and_no_weights(spark, monkeypatch):
     rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
         spark.createDataFrame([(*map(float, r), int(v)) for r, v in zip(x, y)], "a double, b double, label int"))
     assert len(Pipeline(stages=adaboost_stages(n_estimators=12)).fit(rows).stages[0].stump_list()) == 12
+
+
+def test_random_tree_places_rows_of_a_batch_at_once():
+    import numpy as np
+
+    from rareflag.operators.models.random_tree import _Growing
+    tree = _Growing()
+    rng = np.random.default_rng(3)
+    x = rng.uniform(size=(200, 3))
+    assert (tree.placer(np.array([1]))(x) == 0).all()
+    tree.split = {1: (0, 0.5), 3: (1, 0.4), 6: (2, 0.6)}  # 2, 7, 12 and 13 are leaves, 7 is closed
+    open_ids, want = np.array([2, 12, 13]), []
+    for r in x:
+        n = 1
+        while n in tree.split:
+            f, t = tree.split[n]
+            n = 2 * n + (not r[f] <= t)
+        want.append({2: 0, 12: 1, 13: 2}.get(n, -1))
+    assert tree.placer(open_ids)(x).tolist() == want
