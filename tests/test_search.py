@@ -111,3 +111,38 @@ def test_stored_neighbour_model_can_be_moved(spark, rows, tmp_path):
     model.stages[-1]._set(trainPath="/no/such/folder")
     (tmp_path / "a").rename(tmp_path / "b")
     assert {r.id: r.p1 for r in PipelineModel.load(str(tmp_path / "b")).transform(rows).collect()} == want
+
+
+def test_members_of_a_growth_share_one_descent(monkeypatch):
+    import numpy as np
+
+    from rareflag.operators.models import growth as G
+    tree = G.Tree(np.array([0, 1, -1, -1, 0, -1, -1]), np.array([0.5, 0.5, 0, 0, 0.8, 0, 0]), np.array([1, 2, 0, 0, 5, 0, 0]),
+                  np.array([4, 3, 0, 0, 6, 0, 0]), np.arange(7) / 10, np.array([20, 12, 6, 6, 8, 4, 4]), {})
+    x = np.array([[0.1, 0.1], [0.1, 0.9], [0.7, 0.0], [0.9, 0.0]])
+    calls, leaf_of = [], G.leaf_of
+    monkeypatch.setattr(G, "leaf_of", lambda *a: calls.append(1) or leaf_of(*a))
+    members = [Member(1, 2, 2), Member(1, 1, 2), Member(1, 2, 10), Member(1, 0, 2)]
+    got = G.member_probabilities([tree], x, members)
+    assert len(calls) == 1
+    assert got.T.tolist() == [[0.2, 0.3, 0.5, 0.6], [0.1, 0.1, 0.4, 0.4], [0.2, 0.3, 0.4, 0.4], [0, 0, 0, 0]]
+
+
+def test_search_keeps_only_what_the_families_read(spark, rows, monkeypatch):
+    seen, fold_scores = [], S._fold_scores
+    monkeypatch.setattr(S, "_fold_scores", lambda fam, group, tr, va, *a: seen.append((tr.columns, va.columns))
+                        or fold_scores(fam, group, tr, va, *a))
+    S.search(rows.withColumn("other", F.lit("x")), {"dt": {"max_depth": [2]}}, pre, cv=2, refit=False)
+    assert seen == [(["id", "label", "features"],) * 2] * 2
+
+
+def test_elimination_takes_the_fill_values_of_each_part_once(spark, monkeypatch):
+    from rareflag.operators import clean
+    from rareflag.plans.pipeline import preprocessing_stages
+    df = spark.createDataFrame([(i, float(i % 3 == 0), float(i % 3) if i % 7 else None, float(i % 5), float(i % 2)) for i in range(120)],
+                               "id long, label double, a double, b double, c double")
+    calls, statistics = [], clean.compute_statistics
+    monkeypatch.setattr(clean, "compute_statistics", lambda *a: calls.append(1) or statistics(*a))
+    out = S.recursive_elimination(df, ["a", "b", "c"], lambda v: preprocessing_stages(
+        v, flag_cols=[], binary_cols=[], pass_cols=["id", "label"]), {"n_estimators": 3, "max_depth": 3, "bootstrap": False}, cv=2)
+    assert [r["n_features"] for r in out.collect()] == [3, 2, 1] and len(calls) == 5
