@@ -253,3 +253,34 @@ def test_random_tree_places_rows_of_a_batch_at_once():
             n = 2 * n + (not r[f] <= t)
         want.append({2: 0, 12: 1, 13: 2}.get(n, -1))
     assert tree.placer(open_ids)(x).tolist() == want
+
+
+@pytest.mark.parametrize("kind", ["rbf", "poly", "sigmoid"])
+def test_kernel_machine_is_linear_svc_on_the_map_without_mapped_rows(spark, tmp_path, monkeypatch, kind):
+    # the m mapped values of every row were cached, where the d inputs are enough
+    import numpy as np
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import vector_to_array
+
+    from rareflag.operators.models import ksvm
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3))
+    y = (np.abs(x[:, 0]) + 0.3 * rng.normal(size=400) > 0.8).astype(float)
+    df = VectorAssembler(inputCols=list("abc"), outputCol="features").transform(spark.createDataFrame(
+        [(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))],
+        "id long, a double, b double, c double, label double")).repartition(3, "id").persist()
+    for steps in (3, 100):
+        z = ksvm.Nystroem(kernel=kind, landmarks=30, degree=2, coef0=0.5).fit(df).transform(df)
+        svc = LinearSVC(featuresCol="kfeatures", regParam=1 / 4000, maxIter=steps, standardization=False).fit(z)
+        want = {r.id: r.s for r in svc.transform(z).select("id", vector_to_array("rawPrediction")[1].alias("s")).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(ksvm.NystroemModel, "_transform", lambda *a: pytest.fail("mapped rows were made"))
+            m.setattr(ksvm, "SLICE", 50)
+            model = Pipeline(stages=ksvm.ksvm_stages(C=10.0, kernel=kind, degree=2, coef0=0.5, n_train=400, landmarks=30,
+                                                     max_iter=steps)).fit(df)
+        model.write().overwrite().save(str(tmp_path / "m"))
+        got = PipelineModel.load(str(tmp_path / "m")).transform(df).select("id", "score", "prediction", "p0", "p1").collect()
+        assert max(abs(r.score - want[r.id]) for r in got) < 1e-6
+        assert all(r.prediction == (r.score > 0) and r.p0 is None and r.p1 is None for r in got)
+    with pytest.raises(Exception, match="labels of 0 or 1"):
+        Pipeline(stages=ksvm.ksvm_stages(landmarks=5)).fit(df.withColumn("label", F.lit(None).cast("double")))
