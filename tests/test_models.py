@@ -284,3 +284,79 @@ def test_kernel_machine_is_linear_svc_on_the_map_without_mapped_rows(spark, tmp_
         assert all(r.prediction == (r.score > 0) and r.p0 is None and r.p1 is None for r in got)
     with pytest.raises(Exception, match="labels of 0 or 1"):
         Pipeline(stages=ksvm.ksvm_stages(landmarks=5)).fit(df.withColumn("label", F.lit(None).cast("double")))
+
+
+def few_values(spark, n=1500):
+    """Features of few values (one of them constant, one a copy), so that all cut points are the midpoints."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, m, n) for m in (40, 7, 2, 1, 25, 90, 3, 11)]).astype(float)
+    x[:, 6] = x[:, 1]
+    y = ((x[:, 0] + 3 * x[:, 1] > 40) ^ (rng.random(n) < 0.1)).astype(float)
+    names = [f"x{i}" for i in range(x.shape[1])]
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], [*names, "label"]).repartition(3)
+    return VectorAssembler(inputCols=names, outputCol="features").transform(df)
+
+
+def node_table(spark, model, path):
+    model.write().save(path)
+    d = spark.read.parquet(f"{path}/data")
+    d = d.select("treeID", "nodeData.*") if "treeID" in d.columns else d.select(F.lit(0).alias("treeID"), "*")
+    return {(r.treeID, r.id): (round(r.prediction, 12), r.rawCount, r.impurityStats, r.gain, r.leftChild, r.rightChild, r.split)
+            for r in d.collect()}
+
+
+def test_block_grown_models_are_those_of_mllib(spark, tmp_path, monkeypatch):
+    from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
+
+    from rareflag.operators.models import binned_forest as B
+    monkeypatch.setattr(B, "SAMPLED", 0)
+    df = few_values(spark).persist()
+    common = dict(bootstrap=False, maxBins=256)
+    for i, est in enumerate((
+            RandomForestRegressor(numTrees=40, maxDepth=6, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=42, **common),
+            # (a pass takes some of the nodes only)
+            RandomForestRegressor(numTrees=60, maxDepth=6, featureSubsetStrategy="onethird", seed=-7, maxMemoryInMB=1, **common),
+            RandomForestRegressor(numTrees=2, maxDepth=3, featureSubsetStrategy="all", seed=1, **common),
+            DecisionTreeRegressor(maxDepth=5, minInstancesPerNode=9, maxBins=256))):
+        want, got = est.fit(df), B.BlockGrown(estimator=est).fit(df)
+        assert type(got) is type(want) and got.numFeatures == want.numFeatures
+        assert node_table(spark, got, str(tmp_path / f"got{i}")) == node_table(spark, want, str(tmp_path / f"want{i}"))
+        assert got.featureImportances.toArray().tolist() == want.featureImportances.toArray().tolist()
+        a, b = (sorted((r.features.toArray().tolist(), r.prediction) for r in m.transform(df).collect()) for m in (want, got))
+        assert [v for _, v in a] == pytest.approx([v for _, v in b], abs=1e-12)
+
+
+def test_forest_keeps_a_byte_a_feature_and_every_row(spark, monkeypatch):
+    from rareflag.operators.models import binned_forest as B
+    monkeypatch.setattr(B, "SAMPLED", 0)
+    held, blocks = [], B.blocks
+    monkeypatch.setattr(B, "blocks", lambda *a: held.append(blocks(*a)) or held[-1])
+    df = few_values(spark)
+    m = Pipeline(stages=forest_stages(numTrees=2, maxDepth=2, bootstrap=False, minSamplesSplit=10)).fit(df)
+    n, bins, labels = held[0].agg(F.sum("n"), F.sum(F.length("b")), F.sum(F.length("y"))).first()
+    assert (n, bins, labels) == (1500, 8 * 1500, 1500)
+    assert [t._call_java("rootNode").impurityStats().rawCount() for t in m.stages[0].trees] == [1500, 1500]
+
+
+def test_cut_points_of_shared_values_keep_rare_ones(spark):
+    from rareflag.operators.models.binned_forest import shared_cut_points
+    rows = spark.range(0, 40000, 1, 4).select(F.array(
+        F.col("id") * 1.0, (F.col("id") == 17).cast("double"), F.lit(3.0),
+        # one value in two of three rows, so few quantiles
+        F.when(F.col("id") % 3 > 0, 0.0).otherwise(F.col("id") * 1.0)).alias("x"))
+    a, b, c, d = shared_cut_points(rows, 4, 255)
+    assert len(a) == 255 and abs(a[128] - 20000) < 400
+    assert b.tolist() == [0.5] and len(c) == 0
+    assert len(d) > 50 and d[0] <= 3
+
+
+def test_forest_leaves_other_labels_and_weights_to_mllib(spark, monkeypatch):
+    from rareflag.operators.models import binned_forest as B
+    monkeypatch.setattr(B, "SAMPLED", 0)
+    monkeypatch.setattr(B, "grow", None)
+    df = few_values(spark, 60)
+    for stages, rows in ((forest_stages(numTrees=2, bootstrap=True), df),
+                         (forest_stages(numTrees=2, bootstrap=False, weightCol="x0"), df.where("x0 > 0")),
+                         (tree_stages("gini"), df.withColumn("label", F.col("label") * 2))):
+        assert Pipeline(stages=stages).fit(rows).transform(rows).count() == rows.count()
