@@ -146,3 +146,19 @@ def test_elimination_takes_the_fill_values_of_each_part_once(spark, monkeypatch)
     out = S.recursive_elimination(df, ["a", "b", "c"], lambda v: preprocessing_stages(
         v, flag_cols=[], binary_cols=[], pass_cols=["id", "label"]), {"n_estimators": 3, "max_depth": 3, "bootstrap": False}, cv=2)
     assert [r["n_features"] for r in out.collect()] == [3, 2, 1] and len(calls) == 5
+
+
+def test_best_candidate_searches_every_family(monkeypatch):
+    from types import SimpleNamespace
+
+    from rareflag.plans import model_queries as Q
+    asked = []
+
+    def search(spark, sf_dir, grid=None, cv=3):
+        asked.extend(grid or Q.SEARCH_GRID)
+        return None, SimpleNamespace(best={f: ({"a": 1}, 0.5, 0) for f in asked}, winner=("rfc", {"a": 1}, 0.5))
+
+    monkeypatch.setattr(Q, "_search", search)
+    rows = []
+    Q.q_best_candidate(SimpleNamespace(createDataFrame=lambda r, schema: rows.extend(r)), "")
+    assert asked == S.FAMILY_ORDER and [(r[0], r[3]) for r in rows if r[3]] == [("rfc", True)] and len(rows) == 6
