@@ -360,3 +360,39 @@ def test_forest_leaves_other_labels_and_weights_to_mllib(spark, monkeypatch):
                          (forest_stages(numTrees=2, bootstrap=False, weightCol="x0"), df.where("x0 > 0")),
                          (tree_stages("gini"), df.withColumn("label", F.col("label") * 2))):
         assert Pipeline(stages=stages).fit(rows).transform(rows).count() == rows.count()
+
+
+def test_passes_of_boosting_and_kernel_machine_plan_no_query(spark, monkeypatch):
+    # each round and each step of the descent planned a query of its own, with as many tasks as the table has partitions
+    import numpy as np
+
+    from rareflag.operators.models import adaboost, bins, ksvm
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 2))
+    y = (x[:, 0] * x[:, 1] + 0.2 * rng.normal(size=400) > 0).astype(float)
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(
+        [(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, label double")
+    ).repartition(40, "id").persist()
+    planned, tasks, plan, held = [], [], type(df).mapInArrow, bins.held
+    monkeypatch.setattr(type(df), "mapInArrow", lambda *a, **k: planned.append(1) or plan(*a, **k))
+
+    def counted(*a):
+        out = held(*a)
+        tasks.append(out.getNumPartitions())
+        assert sum(len(r[-1]) for r in out.collect()) in (400, 8 * 2 * 400)  # labels or inputs of every row
+        return out
+
+    for module in (adaboost, ksvm):
+        monkeypatch.setattr(module, "held", counted)
+    ada = Pipeline(stages=adaboost_stages(n_estimators=9)).fit(df).stages[0]
+    assert len(ada.stump_list()) == 9 and len(planned) == 1
+    Pipeline(stages=ksvm.ksvm_stages(C=10.0, landmarks=20, n_train=400, max_iter=9)).fit(df)
+    assert len(planned) == 2
+    assert all(n <= max(spark.sparkContext.defaultParallelism, 1) for n in tasks)
+    # more tasks than the driver takes arrays from at once
+    cuts = [np.sort(c) for c in rng.normal(size=(2, 20))]
+    rows = spark.createDataFrame([([float(a) for a in r], int(t)) for r, t in zip(x, y)], "x array<double>, y int").repartition(5)
+    want = bins.weighted_histogram(bins.blocks(rows, "x", "y", cuts), {}, 2, 21, 0.0)
+    monkeypatch.setattr(bins, "FAN_IN", 2)
+    np.testing.assert_allclose(bins.weighted_histogram(bins.blocks(rows, "x", "y", cuts), {}, 2, 21, 0.0), want)
+    assert want.sum() == 2 * 400
