@@ -103,3 +103,27 @@ def test_split_and_folds_of_repeated_and_null_ids(spark):
     assert sorted(sizes.values()) == [166, 166, 167, 167, 167, 167]
     assert {r.fold for r in folds.where("id is null").select("fold").collect()} == {0}
     assert train_test_split(df.limit(0), 0.2).count() == 0
+
+
+def test_passes_of_a_cut_search_do_not_grow(spark, monkeypatch):
+    # a pass named the buckets of the one before by their expressions, so the driver's plans grew from pass to pass
+    rows = spark.range(0, 60_000, 1, 4).select(F.col("id").alias("v"), (F.col("id") % 2).alias("g")).persist()
+    sizes, collect = [], type(rows).collect
+
+    def counted(self):
+        out = collect(self)
+        sizes.append((len(self._jdf.queryExecution().optimizedPlan().toString()), len(out)))
+        return out
+
+    monkeypatch.setattr(type(rows), "collect", counted)
+    ranks = {g: [5_000, 9_000, 15_000, 21_000, 26_000] for g in (0, 1)}
+    got = cut_values(rows, F.col("v"), ranks, F.col("g"), 60)
+    assert got == {g: {r: (2 * r + g, r, 1) for r in rs} for g, rs in ranks.items()}
+    plans = [n for n, _ in sizes]
+    assert max(plans) < 3 * plans[2] and max(n for _, n in sizes) < 10_000  # plans[2]: the first count by bucket
+    monkeypatch.undo()
+    # few values, strings among them
+    for values in (["b", None, "a", "a", "c"], [2.5, float("nan"), None, 2.5, -1.0]):
+        df = spark.createDataFrame([(x, i) for i, x in enumerate(values)], ["v", "i"])
+        top = cut_values(df, F.col("v"), {0: [0, 1, 4]})[0]
+        assert top[0] == (None, 0, 1) and top[1][1:] == (1, 2 if values[2] == "a" else 1) and top[4][1:] == (4, 1)
